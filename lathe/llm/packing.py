@@ -133,7 +133,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
 def _rest(left: DataFrame, total: DataFrame, capacity: int, names: list[str]) -> DataFrame:
     """The unfilled sequences' pieces, longest first, each into the first sequence with room. Fewer than j for each class j: a fixed bound."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         n = table.num_rows
         cols = {c: table.column(c).to_pylist() for c in ("length", "kind", "at")}
         room: list[int] = []

@@ -36,9 +36,9 @@ QUERIES = {f.__name__: f for f in (op7_vector_approximation_top_k, op9_harmonic_
 SQL = {
     "op7_vector_approximation_top_k": """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
   FROM (SELECT * FROM e WHERE vec_id % 50 = 0) q JOIN e d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),

@@ -51,12 +51,12 @@ def with_cells(vectors: DataFrame) -> DataFrame:
 
 
 def _block(k: int):
-    def run(key, queries: pa.Table, data: pa.Table) -> pa.Table:
+    def run(key, queries, data):
         out: list[tuple] = []
         if queries.num_rows and data.num_rows:
             dim = key[2].as_py()
             to_array = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), np.int64).reshape(-1, dim)
-            q, ids, own = to_array(queries, "v"), np.asarray(data.column("vec_id")), np.asarray(queries.column("vec_id"))
+            q, ids, own = to_array(queries, "qv"), np.asarray(data.column("vec_id")), np.asarray(queries.column("query_id"))
             packed = np.frombuffer(b"".join(data.column("cells").to_pylist()), np.uint8).reshape(len(ids), -1)
             cells = np.stack([packed >> 4, packed & 15], 2).reshape(len(ids), -1)[:, :dim].astype(np.float64)
             lows, steps = (np.asarray(data.column(c)[0].as_py(), np.float64) for c in ("lows", "steps"))
@@ -99,6 +99,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec
     data = approx.withColumn("db", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(d_blocks)).cast("int"))
     data = data.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     keys = ["qb", "db", "dim"]
-    best = queries.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_block(k), "query_id long, vec_id long, score long")
+    queries = queries.select("qb", "db", F.col("dim").alias("dim"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    best = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_block(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
