@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing, topk
+from . import jaccard, matroska, packing, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(read(spark, sf_dir, "documents"))
+
+
 def op7_vector_approximation_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -31,9 +35,21 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op3_heavy_light_jaccard, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
+    "op3_heavy_light_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i
+  FROM u a JOIN u b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * i >= 90 * (na + nb - i)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.c AS component_id FROM s JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = s.doc_id""",
     "op7_vector_approximation_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
