@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, matroska, packing, topk
+from . import jaccard, lm, matroska, packing, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -23,6 +23,10 @@ def op3_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read(spark, sf_dir, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_vector_approximation_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -35,7 +39,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_heavy_light_jaccard, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op3_heavy_light_jaccard, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
     "op3_heavy_light_jaccard": r"""
