@@ -142,7 +142,9 @@ class Model:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted keys, 0 for pairs that are not known."""
         out = np.zeros(len(keys), np.int64)
-        cuts = np.searchsorted(keys, np.array(self.bounds, np.uint64)) if self.bounds else []
+        if not self.bounds:
+            return out
+        cuts = np.searchsorted(keys, np.array(self.bounds, np.uint64))
         for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
             if a < b and self.bounds[k + 1 : k + 2] != [self.bounds[k]]:
                 at = _find(_load(f"{self.folder}/pairs-{k}.npy"), keys[a:b])

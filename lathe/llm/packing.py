@@ -22,6 +22,7 @@ packed each. Empty table: no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .staging import written
 
-CAPACITY, END_ID, CACHED = 2048, 1, 400_000
+CAPACITY, END_ID, CACHED_WORDS, CACHED_RUNS = 2048, 1, 150_000, 500_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row_key long"
 
 
@@ -52,24 +53,59 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class _Encoder:
-    """Ids of white-space separated words; the vocabulary's rules never reach across white space."""
+    """Ids of white-space separated words; the vocabulary's rules never reach across white space.
+
+    A new word of Latin letters, digits and ASCII signs is the sum of its runs, as
+    the vocabulary's own rule divides them; few of these are new. Runs are encoded
+    many at once, with a special token between them. Other words go one by one.
+    """
+
+    PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    #: The vocabulary's rule for runs, for lower-cased plain words.
+    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+    MARK = "<|startoftext|>"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        if len(self.runs) > CACHED_RUNS:
+            self.runs.clear()
+        runs, plain = self.runs, []
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            if self.mark is not None and "<|" not in text and self.PLAIN.fullmatch(text):
+                plain.append((w, self.RUNS.findall(text.lower())))
+            else:
+                self.words[w] = self._one(text)
+        unknown = list({r for _, x in plain for r in x if r not in runs})
+        for at in range(0, len(unknown), 2048):
+            some = unknown[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for r, end in zip(some, ends, strict=True):
+                runs[r] = raw[4 * start : 4 * end]
+                start = end + 1
+        self.words.update((w, b"".join([runs[r] for r in x])) for w, x in plain)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        return [b"".join([known[w] for w in x]) for x in words]
+        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        known = self.words
+        if new := list({w for x in split for w in x if w not in known}):
+            if len(known) > CACHED_WORDS:  # the texts' other words go as well
+                known.clear()
+                new = list({w for x in split for w in x})
+            self._learn(new)
+        return [b"".join([known[w] for w in x]) for x in split]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -114,7 +150,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
     counts = counts.withColumn("before", F.sum("here").over(Window.partitionBy("kind").orderBy("part")) - F.col("here")).drop("here")
     sizes = pieces.groupBy("kind").agg((F.count("*")).alias("of_kind"))
     sizes = sizes.withColumn("bins", F.expr("of_kind div kind"))
-    sizes = sizes.withColumn("first_bin", F.sum("bins").over(Window.partitionBy(F.lit(0)).orderBy("kind")) - F.col("bins")).drop("of_kind")
+    sizes = sizes.withColumn("first_bin", F.sum("bins").over(Window.partitionBy(F.lit(0)).orderBy("kind")) - F.col("bins"))
+    sizes = sizes.withColumn("filled", F.sum("bins").over(Window.partitionBy(F.lit(0)))).drop("of_kind")
     ranked = (
         pieces.withColumn("at", F.row_number().over(Window.partitionBy("kind", "part").orderBy(*order)))
         .join(F.broadcast(counts), ["kind", "part"])
@@ -124,13 +161,12 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
     )
     full = ranked.where("bin < bins").withColumn("sequence_id", F.col("first_bin") + F.col("bin"))
     full = full.withColumn("offset", F.sum("length").over(Window.partitionBy("sequence_id").orderBy("at")) - F.col("length"))
-    total = sizes.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("filled"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    rest = _rest(ranked.where("bin >= bins"), total, capacity, names)
+    rest = _rest(ranked.where("bin >= bins"), capacity, names)
     return full.select(*names).unionByName(rest.select(*names))
 
 
-def _rest(left: DataFrame, total: DataFrame, capacity: int, names: list[str]) -> DataFrame:
+def _rest(left: DataFrame, capacity: int, names: list[str]) -> DataFrame:
     """The unfilled sequences' pieces, longest first, each into the first sequence with room. Fewer than j for each class j: a fixed bound."""
 
     def run(key, table):
@@ -149,9 +185,8 @@ def _rest(left: DataFrame, total: DataFrame, capacity: int, names: list[str]) ->
         table = table.append_column("sequence_id", pa.array([first + k for k in sequence], pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
         return table.select(names)
 
-    one = left.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
     kinds = dict(left.dtypes) | {"sequence_id": "bigint", "offset": "bigint"}
-    return one.groupBy("one").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return left.groupBy(F.lit(1).alias("one")).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def packed(docs: DataFrame, path: str, *, keep_ids: bool = False, **kw) -> DataFrame:
