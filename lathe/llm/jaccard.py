@@ -11,6 +11,8 @@ Heavy sets: inverted lists, from shingles to sets. Links need a common shingle
 among the rarest n - ceil(num * n / den) + 1 of each side, so the lists hold
 these; light sets large enough to link with a heavy one are in the lists too.
 "Rare" is any order that all sides share: shingles known as frequent come last.
+Pairs whose shingles, counted by CELLS classes of their hashes, cannot overlap
+enough are dropped before any set is read.
 Each list first tries all members against its smallest; members found to be
 linked form one component. What is left, members of one list in different
 components, is tried pair by pair in short lists. Sets that share long lists are
@@ -42,7 +44,7 @@ from .staging import discard, written
 from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Lists longer than LONG are dealt to blocks of BLOCK shingles.
-MOST_LIGHT, FREQUENT, LONG, BLOCK = 40, 1 << 18, 32, 1 << 19
+MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 19, 128
 #: Tables of so few rows of fixed width may be broadcast.
 BROADCAST_ROWS = 2_000_000
 #: What a list entry costs, in subsets: it is matched, and its candidates' sets are read.
@@ -109,13 +111,13 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(known: np.ndarray, rule: Rule):
-    """doc_id, n, two hashes of the set, its shingles (all of small sets, else the prefix) with the rare ones first."""
+    """doc_id, n, two hashes of the set, its shingles (all of small sets, else the prefix) with the rare ones first, and its counts by cells."""
     place = np.argsort(known.view(np.uint64))
     values = known.view(np.uint64)[place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d1", "d2", "tokens"]
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        names = ["doc_id", "n", "d1", "d2", "tokens", "cells"]
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
         rows: list[tuple] = []
         last = None
         for batch, i, s in _each_set(batches, rule.k):
@@ -132,7 +134,8 @@ def _sets(known: np.ndarray, rule: Rule):
                 d1, d2 = int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51))).view(np.int64))
             else:
                 keep, d1, d2 = s, 0, 0
-            rows.append((ids[i], n, d1, d2, keep.view(np.int64)))
+            cells = np.minimum(np.bincount((s >> np.uint64(11)).astype(np.int64) % CELLS, minlength=CELLS), 255)
+            rows.append((ids[i], n, d1, d2, keep.view(np.int64), cells.astype(np.uint8).tobytes()))
             if len(rows) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 rows = []
@@ -202,6 +205,21 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     return wanted.mapInArrow(run, "id long, set binary")
 
 
+def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose counts by cells allow a link. A count of 255 may stand for more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (2, 3))
+            n = np.asarray(batch.column(4)) + np.asarray(batch.column(5))
+            most = np.minimum(x, y).sum(1, dtype=np.int64) + (1 << 40) * ((x == 255) & (y == 255)).any(1)
+            keep = rule.den * most >= rule.num * (n - most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+    left, right = (cells.select(F.col("id").alias(i), F.col("cells").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "x", "p"), ("b", "y", "q")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -266,10 +284,10 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), "doc_id long, n long, d1 long, d2 long, tokens array<long>"), "sets")
+    rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), "doc_id long, n long, d1 long, d2 long, tokens array<long>, cells binary"), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
-    sets = rows.withColumn("id", F.col("doc_id")).join(classes, [*by, "id"], "left_semi").select("id", "n", "tokens")
+    sets = rows.withColumn("id", F.col("doc_id")).join(classes, [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
     light = rule.boundary({r["n"]: r["count"] for r in classes.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()})
 
     links = written(_light_links(sets, rule, light), "light")
@@ -280,19 +298,22 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     entries = written(entries.join(_small(lists), "token"), "entries")
 
     # First round: each list's members against its smallest.
-    stars = written(entries.where("id <> first").select(F.col("first").alias("b"), F.col("id").alias("a")).distinct(), "stars")
+    stars = entries.where("id <> first").select(F.col("first").alias("b"), F.col("id").alias("a")).distinct()
+    stars = written(_possible(stars, sets, rule), "stars")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = written(_shingle_sets(docs, ids(stars), rule), "full")
     found = written(links.select("a", "b").unionAll(_verified(stars, full, rule)), "found")
     label = components(found)
-    discard(links, lists, stars, found)
+    discard(links, lists, stars, found, full)
 
     # Second round: members of one list that are in different components.
     apart = _labelled(entries, label)
     open_lists = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     apart = written(apart.join(open_lists, "token", "left_semi"), "apart")
-    pairs = written(_short_pairs(apart.where(F.col("len") <= LONG), rule), "pairs")
-    more = written(_verified(pairs, full, rule).unionAll(_block_links(apart.where(F.col("len") > LONG), full, rule)), "more")
+    pairs = written(_possible(_short_pairs(apart.where(F.col("len") <= LONG), rule), sets, rule), "pairs")
+    blocks = written(_blocks(apart.where(F.col("len") > LONG)), "blocks")
+    full = written(_shingle_sets(docs, ids(pairs).union(blocks.select("id")).distinct(), rule), "full")
+    more = written(_verified(pairs, full, rule).unionAll(_block_links(blocks, full, rule)), "more")
     if not more.isEmpty():
         ends = [more.select(F.col(c).alias("id"), F.monotonically_increasing_id().alias("link")) for c in "ab"]
         a, b = (_labelled(e, label).select("link", F.col("comp").alias(c)) for e, c in zip(ends, "ab", strict=True))
@@ -300,7 +321,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
         every = label.select("id", "component").unionAll(ids(more).select("id", F.col("id").alias("component")).join(label, "id", "left_anti"))
         every = every.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
         label = written(every.select("id", F.coalesce("to", "component").alias("component")), "label")
-    discard(entries, apart, pairs, more, full)
+    discard(entries, apart, pairs, blocks, more, full)
 
     class_of = _labelled(classes, label).select(*by, F.col("comp").alias("component_id"))
     out = rows.select("doc_id", *by).join(class_of, by, "left")
@@ -315,11 +336,15 @@ def _short_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
-def _block_links(entries: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
+def _blocks(entries: DataFrame) -> DataFrame:
+    """id, n, comp, component and block of what stands in long lists; a component's sets are dealt to blocks of about BLOCK shingles."""
     group = components(entries.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
     members = entries.select("id", "n", "comp").distinct().join(group, "id")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    return members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _block_links(members: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(full, "id")
     return dealt.groupBy("component", "i", "j").applyInArrow(_scan(rule), "a long, b long")
