@@ -22,7 +22,6 @@ packed each. Empty table: no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import written
+from .words import span_hashes
 
-CAPACITY, END_ID, CACHED_WORDS, CACHED_RUNS = 2048, 1, 150_000, 500_000
+CAPACITY, END_ID, CACHED_RUNS = 2048, 1, 2_000_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row_key long"
 
 
@@ -53,59 +53,120 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class _Encoder:
-    """Ids of white-space separated words; the vocabulary's rules never reach across white space.
+    """Ids of texts, with what the vocabulary gives for their distinct runs.
 
-    A new word of Latin letters, digits and ASCII signs is the sum of its runs, as
-    the vocabulary's own rule divides them; few of these are new. Runs are encoded
-    many at once, with a special token between them. Other words go one by one.
+    The vocabulary's rule divides a text into runs (letters, single digits, other
+    signs, some endings after an apostrophe), which it encodes each by itself. In
+    texts of ASCII and Latin-1 letters runs are found for many texts at once, and
+    only distinct runs that are new are encoded, many at once with a special token
+    between them. Other texts are encoded one by one.
     """
 
-    PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-    #: The vocabulary's rule for runs, for lower-cased plain words.
-    RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
     MARK = "<|startoftext|>"
+    #: Classes of bytes: 0 space, 1 letter, 2 digit, 3 other sign, 4 a text that has it is encoded by itself.
+    CLASS = np.full(256, 4, np.uint8)
+    CLASS[33:127] = 3
+    CLASS[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+    CLASS[48:58] = 2
+    CLASS[[9, 10, 11, 12, 13, 32]] = 0
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(self.MARK)
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.runs) > CACHED_RUNS:
-            self.runs.clear()
-        runs, plain = self.runs, []
-        for w in new:
-            text = w.decode("utf-8", "replace")
-            if self.mark is not None and "<|" not in text and self.PLAIN.fullmatch(text):
-                plain.append((w, self.RUNS.findall(text.lower())))
-            else:
-                self.words[w] = self._one(text)
-        unknown = list({r for _, x in plain for r in x if r not in runs})
-        for at in range(0, len(unknown), 2048):
-            some = unknown[at : at + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for r, end in zip(some, ends, strict=True):
-                runs[r] = raw[4 * start : 4 * end]
-                start = end + 1
-        self.words.update((w, b"".join([runs[r] for r in x])) for w, x in plain)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.words
-        if new := list({w for x in split for w in x if w not in known}):
-            if len(known) > CACHED_WORDS:  # the texts' other words go as well
-                known.clear()
-                new = list({w for x in split for w in x})
-            self._learn(new)
-        return [b"".join([known[w] for w in x]) for x in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.place = np.zeros(0, np.int64)
+
+    def _runs(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of plain texts begin and end."""
+        kind = self.CLASS[raw]
+        first = kind > 0
+        first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cuts = off[:-1][np.diff(off) > 0]
+        first[cuts] = kind[cuts] > 0
+        last = kind > 0
+        last[:-1] &= (kind[:-1] != kind[1:]) | (kind[:-1] == 2)
+        last[cuts[1:] - 1] = kind[cuts[1:] - 1] > 0
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        # The endings after an apostrophe that are runs of their own.
+        lone = np.flatnonzero((raw[starts] == 39) & (ends - starts == 1))
+        lone = lone[lone + 1 < len(starts)]
+        lone = lone[(starts[lone + 1] == ends[lone]) & (kind[ends[lone]] == 1) & ~np.isin(ends[lone], off)]
+        if len(lone):
+            low = lambda i: raw[np.minimum(i, len(raw) - 1)] | 32
+            c, d, two = low(ends[lone]), low(ends[lone] + 1), ends[lone + 1] - ends[lone] > 1
+            one = np.isin(c, [ord(x) for x in "stmd"])
+            both = two & ((c == ord("r")) & (d == ord("e")) | (c == ord("v")) & (d == ord("e")) | (c == ord("l")) & (d == ord("l")))
+            take = np.where(one, 1, np.where(both, 2, 0))
+            ends[lone] += take
+            starts[lone + 1] += take
+            keep = starts < ends
+            starts, ends = starts[keep], ends[keep]
+        return starts, ends
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        if len(self.known) + len(hashes) > CACHED_RUNS and len(hashes) < CACHED_RUNS:
+            self._forget()
+        ids, ends = [], []
+        base = len(self.ids)
+        for at in range(0, len(texts), 2048):
+            got = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(texts[at : at + 2048])], add_special_tokens=False)[0].ids, "<u4")
+            mark = np.flatnonzero(got == self.mark)
+            ends.append(np.append(mark - np.arange(len(mark)), len(got) - len(mark)) + base)
+            ids.append(got[got != self.mark])
+            base += len(ids[-1])
+        self.at = np.concatenate([self.at, *ends])
+        self.ids = np.concatenate([self.ids, *ids])
+        known, place = np.concatenate([self.known, hashes]), np.concatenate([self.place, len(self.known) + np.arange(len(hashes))])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place = known[order], place[order]
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        _, offsets, values = texts.buffers()
+        off = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        raw = np.frombuffer(values, np.uint8)[off[0] : off[-1]] if values else np.zeros(0, np.uint8)
+        off -= off[0]
+        starts, ends = self._runs(raw, off)
+        hashes = span_hashes(raw, starts, ends)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.setdiff1d(np.arange(len(distinct)), np.flatnonzero(np.isin(distinct, self.known, assume_unique=True)))
+        if len(new):
+            data = raw.tobytes()
+            if len(self.known) + len(new) > CACHED_RUNS:
+                self._forget()
+                new = np.arange(len(distinct))
+            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        place = self.place[np.searchsorted(self.known, distinct)][inverse]
+        n = self.at[place + 1] - self.at[place]
+        total = np.concatenate(([0], np.cumsum(n)))
+        flat = self.ids[np.repeat(self.at[place] - total[:-1], n) + np.arange(total[-1])].tobytes()
+        cuts = (4 * total[np.searchsorted(starts, off)]).tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = texts.fill_null("").cast(pa.string())
+        _, offsets, values = texts.buffers()
+        off = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        raw = np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8)
+        part = raw[off[0] : off[-1]]
+        odd = self.CLASS[part] == 4
+        odd[1:] |= (part[1:] == ord("|")) & (part[:-1] == ord("<"))
+        odd[1:] |= (part[:-1] == 0xC3) & np.isin(part[1:], [0x97, 0xB7])
+        before = np.concatenate(([0], np.cumsum(odd)))
+        plain = before[off[1:] - off[0]] == before[off[:-1] - off[0]]
+        if self.mark is None:
+            plain[:] = False
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(np.flatnonzero(plain).tolist(), self._plain(texts.filter(pa.array(plain))), strict=True):
+            out[i] = ids
+        rest = np.flatnonzero(~plain).tolist()
+        for i in rest:
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -116,10 +177,10 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
         encode = _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += last
                     n, start = len(ids) // 4, 0
                     key = zlib.crc32(ids)

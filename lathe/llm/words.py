@@ -74,11 +74,23 @@ def _hash(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = off[1:][off[1:] > 0] - 1
     last[cuts] = inside[cuts]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _tables(size + 1)
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, off).astype(np.int64)
+    return span_hashes(raw, starts, ends), np.searchsorted(starts, off).astype(np.int64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, in order and without overlap; A-Z count as a-z."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        end = max(at + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+        a, b = starts[at:end] - base, ends[at:end] - base
+        power, inverse = _tables(int(b[-1]) + 1)
+        sums = np.zeros(int(b[-1]) + 1, np.uint64)
+        np.cumsum((_LOWER[raw[base : base + b[-1]]].astype(np.uint64) + np.uint64(1)) * power[: b[-1]], out=sums[1:])
+        out[at:end] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = end
+    return out
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

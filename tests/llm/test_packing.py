@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -80,6 +81,7 @@ def test_words_of_documents(spark):
     """Word by word, ids are those of the whole text."""
     encode = packing._Encoder(tokenizer_path())
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["it's 'sad we'LL'd I've''s x'", "'", "'s", "'lx 'Ll", "a'", "r'e 're", "", "É'T9'm 12", None, "dots... 'rE'v 'vE"] * 2
     texts += [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).collect()]
-    for t, ids in zip(texts, encode(texts), strict=True):
+    for t, ids in zip(texts, encode(pa.array(texts, pa.string())), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == encoded(t)[:-1]
