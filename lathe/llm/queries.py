@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lm, matroska, packing, pii, topk
+from . import jaccard, lm, matroska, packing, pii, secrets, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,6 +27,10 @@ def op3_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read(spark, sf_dir, "documents"))
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(read(spark, sf_dir, "documents"))
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model_scores(read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_heavy_light_jaccard, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
     "op3_heavy_light_jaccard": r"""
