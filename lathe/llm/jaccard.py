@@ -15,9 +15,10 @@ Pairs whose shingles, counted by CELLS classes of their hashes, cannot overlap
 enough are dropped before any set is read.
 Each list first tries all members against its smallest; members found to be
 linked form one component. What is left, members of one list in different
-components, is tried pair by pair in short lists. Sets that share long lists are
-dealt to blocks, and each pair of blocks counts overlaps by scanning the lists
-of its shingles. No list's pairs are written out, however long it is.
+components, is grouped: by possible pairs in short lists, as a whole in long
+ones. Groups are dealt to blocks of bounded size, and each pair of blocks counts
+overlaps by scanning the lists of its shingles. A set is sent to its blocks
+once, not to each pair, and no long list's pairs are written out.
 
 B is the boundary at which the subsets to list and the list entries to scan,
 weighed by their costs, are fewest for the sizes that are there.
@@ -311,9 +312,10 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     open_lists = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     apart = written(apart.join(open_lists, "token", "left_semi"), "apart")
     pairs = written(_possible(_short_pairs(apart.where(F.col("len") <= LONG), rule), sets, rule), "pairs")
-    blocks = written(_blocks(apart.where(F.col("len") > LONG)), "blocks")
-    full = written(_shingle_sets(docs, ids(pairs).union(blocks.select("id")).distinct(), rule), "full")
-    more = written(_verified(pairs, full, rule).unionAll(_block_links(blocks, full, rule)), "more")
+    together = pairs.unionAll(apart.where((F.col("len") > LONG) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
+    blocks = written(_blocks(apart, components(together)), "blocks")
+    full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule), "full")
+    more = written(_block_links(blocks, full, rule), "more")
     if not more.isEmpty():
         ends = [more.select(F.col(c).alias("id"), F.monotonically_increasing_id().alias("link")) for c in "ab"]
         a, b = (_labelled(e, label).select("link", F.col("comp").alias(c)) for e, c in zip(ends, "ab", strict=True))
@@ -336,9 +338,8 @@ def _short_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
-def _blocks(entries: DataFrame) -> DataFrame:
-    """id, n, comp, component and block of what stands in long lists; a component's sets are dealt to blocks of about BLOCK shingles."""
-    group = components(entries.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+def _blocks(entries: DataFrame, group: DataFrame) -> DataFrame:
+    """id, n, comp, component and block; each component of group has its sets dealt to blocks of about BLOCK shingles."""
     members = entries.select("id", "n", "comp").distinct().join(group, "id")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     return members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
