@@ -330,6 +330,22 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those that are linked, directly or over others, with a smaller id. Of rows with one id, one text stays.
+
+    Rows without shingles or id are all kept.
+    """
+    found = written(linked(docs, rule, id_col=id_col, text_col=text_col), "linked")
+    gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    kept = docs.join(_small(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    if not twice.isEmpty():
+        shared = F.col(id_col).cast("long") == F.col("__twice")
+        some = kept.join(twice, shared, "left_semi").dropDuplicates([id_col])
+        kept = kept.join(twice, shared, "left_anti").unionByName(some)
+    return kept
+
+
 def _short_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
     """Pairs within short lists whose sizes allow a link; those with a list's smallest have been tried."""
     listed = entries.where("id <> first").groupBy("token").agg(F.collect_list(F.struct("id", "n", "comp")).alias("x"))

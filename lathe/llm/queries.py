@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lm, matroska, packing, pii, secrets, topk
+from . import jaccard, lm, matroska, packing, pii, quality, secrets, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(read(spark, sf_dir, "documents")))
 
@@ -47,7 +51,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
     "op3_heavy_light_jaccard": r"""
