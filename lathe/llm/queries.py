@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lm, matroska, packing, pii, quality, secrets, topk
+from . import jaccard, lm, matroska, packing, pieces, pii, quality, secrets, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,10 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model_scores(read(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_vector_approximation_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op6_sentencepiece, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
     "op3_heavy_light_jaccard": r"""
