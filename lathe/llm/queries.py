@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, lm, matroska, packing, pieces, pii, quality, secrets, topk
+from . import chat, jaccard, lm, matroska, packing, pieces, pii, quality, secrets, topk
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,6 +48,13 @@ def op7_vector_approximation_top_k(spark: SparkSession, sf_dir: str) -> DataFram
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op8_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.transcript_lines(read(spark, sf_dir, "conversations"))
+    model = chat.trained(lines.where(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0))
+    turns = chat.parsed(lines, model)
+    return turns.select("conv_id", "pos", "line", "role", "n_lines", "continues", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
@@ -55,7 +63,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(matroska.stored(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op6_sentencepiece, op7_vector_approximation_top_k, op9_harmonic_packing, op10_matroska)}
+QUERIES = {f.__name__: f for f in (op1_co_training_quality, op2_weak_supervision_pii, op3_heavy_light_jaccard, op4_secret_forest, op5_kneser_ney, op6_sentencepiece, op7_vector_approximation_top_k, op8_transcript_roles, op9_harmonic_packing, op10_matroska)}
 
 SQL = {
     "op3_heavy_light_jaccard": r"""
