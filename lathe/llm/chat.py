@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLES, PART = ("system", "user", "assistant"), 4096
@@ -145,7 +145,7 @@ def trained(labelled: DataFrame, *, id_col: str = "conv_id", pos_col: str = "tur
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total != 0])], ["at", "n"])
 
     turns = labelled.where(F.col(role_col).isin(*ROLES)).select(F.col(id_col).alias("c"), F.col(pos_col).alias("p"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ended = F.struct("role", F.col("text").rlike(r"(?:^|\n)\s*$").alias("blank"))
+    ended = F.struct("role", F.col("text").rlike(_BLANK_END).alias("blank"))
     earlier = turns.groupBy("c", "p").agg(F.min(ended).alias("e")).select("c", (F.col("p") + 1).alias("p"), F.col("e.role").alias("before"), "e.blank")
     counts = turns.join(earlier, ["c", "p"], "left").select("role", "before", "blank", "text").mapInArrow(run, "at long, n double")
     total = np.zeros(N + N * N + N * SYMBOLS)
@@ -154,13 +154,19 @@ def trained(labelled: DataFrame, *, id_col: str = "conv_id", pos_col: str = "tur
     return Model(total[:N], total[N : N + N * N].reshape(N, N), total[N + N * N :].reshape(N, SYMBOLS))
 
 
+_BLANK_END = r"(?:^|\n)\s*$"
+
+
 def _ends(rows: DataFrame, model: Model) -> DataFrame:
-    """conv_id, part, before, end: the states at the ends of the parts of transcripts with several."""
+    """conv_id, part, before, end, fresh, last: the states at the ends of the parts of transcripts with several, whether the line before is blank, and whether no part follows."""
+    last = rows.groupBy("conv_id", "part").agg(F.max_by(F.col("text").rlike(_BLANK_END), F.struct("pos", "text")).alias("blank"))
+    fresh = F.coalesce(F.lag("blank").over(Window.partitionBy("conv_id").orderBy("part")), F.lit(True))
+    rows = rows.join(last.select("conv_id", "part", fresh.alias("fresh")), ["conv_id", "part"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, part, first), found in _parts(batches, 3):
-            symbols = _symbols([x for _, t in found for x in t.split("\n")])
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([model.transfer(symbols, part == first).tobytes()], pa.binary())], ["conv_id", "part", "best"])
+        for (conv, part, first, fresh), found in _parts(batches, 4):
+            symbols = _symbols([x for _, t in found for x in t.split("\n")], fresh)
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([model.transfer(symbols, part == first).tobytes()], pa.binary()), pa.array([fresh])], ["conv_id", "part", "best", "fresh"])
 
     def chain(key, table):
         table = table.sort_by("part")
@@ -174,10 +180,10 @@ def _ends(rows: DataFrame, model: Model) -> DataFrame:
         for b in reversed(back):
             ends.append(int(b[ends[-1]]))
         ends.reverse()
-        return pa.table({"conv_id": table.column("conv_id"), "part": table.column("part"), "before": pa.array([None, *ends[:-1]], pa.int64()), "end": pa.array(ends, pa.int64())})
+        return pa.table({"conv_id": table.column("conv_id"), "part": table.column("part"), "before": pa.array([None, *ends[:-1]], pa.int64()), "end": pa.array(ends, pa.int64()), "fresh": table.column("fresh"), "last": pa.array([i == len(ends) - 1 for i in range(len(ends))])})
 
-    made = _dealt(rows, "first").mapInArrow(matrices, "conv_id long, part long, best binary")
-    return made.groupBy("conv_id").applyInArrow(chain, "conv_id long, part long, before long, end long")
+    made = _dealt(rows, "first", "fresh").mapInArrow(matrices, "conv_id long, part long, best binary, fresh boolean")
+    return made.groupBy("conv_id").applyInArrow(chain, "conv_id long, part long, before long, end long, fresh boolean, last boolean")
 
 
 TURNS = "conv_id long, pos long, line long, role string, n_lines long, continues boolean, rendered string"
@@ -189,9 +195,9 @@ def parsed(transcripts: DataFrame, model: Model, *, id_col: str = "conv_id", pos
     several = rows.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last AND conv_id IS NOT NULL").select("conv_id", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (conv, _, before, end), found in _parts(batches, 4):
+        for (conv, _, before, end, fresh, last), found in _parts(batches, 6):
             lines = [(pos, i, x) for pos, t in found for i, x in enumerate(t.split("\n"))]
-            states = model.path(_symbols([x for *_, x in lines]), before, end)
+            states = model.path(_symbols([x for *_, x in lines], fresh is not False), before, end)
             starts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0]
             out = []
             for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
@@ -201,22 +207,18 @@ def parsed(transcripts: DataFrame, model: Model, *, id_col: str = "conv_id", pos
                     text[0] = text[0][marker(text[0])[1] :]
                 head = "" if goes_on else f"<|im_start|>{role}\n"
                 out.append((conv, lines[a][0], lines[a][1], role, b - a, goes_on, head + "\n".join(text)))
-            open_end = end is not None
+            # A part's last turn stays open if a part follows; that one's first row goes on with it or closes it.
             for k, row in enumerate(out):
-                last = k == len(out) - 1
-                # The last turn of a part may go on in the next one; the turn that follows there closes it.
-                closed = row[6] + ("\n" if last and open_end else "<|im_end|>\n")
-                if row[5] is False and k == 0 and before is not None:
-                    closed = "<|im_end|>\n" + closed
-                out[k] = (*row[:6], closed)
+                head = ("\n" if row[5] else "<|im_end|>\n") if k == 0 and before is not None else ""
+                out[k] = (*row[:6], head + row[6] + ("" if last is False and k == len(out) - 1 else "<|im_end|>\n"))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "pos", "line", "role", "n_lines", "continues", "rendered"])
 
     if several.isEmpty():
-        rows = rows.withColumn("before", F.lit(None).cast("long")).withColumn("end", F.lit(None).cast("long"))
+        rows = rows.withColumn("before", F.lit(None).cast("long")).withColumn("end", F.lit(None).cast("long")).withColumn("fresh", F.lit(True)).withColumn("last", F.lit(True))
     else:
         rows = rows.join(_ends(rows.join(several, "conv_id"), model), ["conv_id", "part"], "left")
-    return _dealt(rows, "before", "end").mapInArrow(run, TURNS)
+    return _dealt(rows, "before", "end", "fresh", "last").mapInArrow(run, TURNS)
 
 
 def transcript_lines(conversations: DataFrame) -> DataFrame:

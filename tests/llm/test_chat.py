@@ -44,6 +44,7 @@ def test_parts_give_the_same(spark, parts, monkeypatch):
     text = lambda out, c: "".join(r["rendered"] for r in of(out, c))
     for c in (7, 8, 10):
         assert [(r["pos"], r["line"], r["role"]) for r in of(parted, c) if not r["continues"]] == [(r["pos"], r["line"], r["role"]) for r in of(whole, c)]
+        assert text(whole, c) == text(parted, c)
         assert text(whole, c).count("<|im_end|>") == text(parted, c).count("<|im_end|>") == text(whole, c).count("<|im_start|>")
     assert sum(r["n_lines"] for r in whole) == sum(r["n_lines"] for r in parted) == sum((t or "").count("\n") + 1 for _, _, t in rows)
     assert chat.parsed(df.limit(0), model).collect() == []
