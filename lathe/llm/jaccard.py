@@ -45,7 +45,7 @@ from .staging import discard, written
 from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Lists longer than LONG are dealt to blocks of BLOCK shingles.
-MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 19, 128
+MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 21, 128
 #: Tables of so few rows of fixed width may be broadcast.
 BROADCAST_ROWS = 2_000_000
 #: What a list entry costs, in subsets: it is matched, and its candidates' sets are read.
@@ -240,39 +240,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _scan(rule: Rule):
-    """Links that join components, between two blocks or within one, by counting overlaps over inverted lists."""
+    """Links that join components, between two blocks or within one, by counting overlaps over inverted lists.
+
+    Sets of the largest component are not scanned: what could join them to others is found from those.
+    """
 
     def run(key, table):
         side = np.asarray(table.column("block"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
         size = np.array([len(s) for s in sets], np.int64)
-        ids, comp = np.asarray(table.column("id")), np.asarray(table.column("comp"))
-        root = {int(c): int(c) for c in comp}
+        ids = np.asarray(table.column("id"))
+        names, comp = np.unique(np.asarray(table.column("comp")), return_inverse=True)
+        root, members = np.arange(len(names)), np.bincount(comp, minlength=len(names))
 
         def find(c: int) -> int:
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        one = key[1].as_py() == key[2].as_py()
-        left = np.arange(len(ids)) if one else np.flatnonzero(side == key[1].as_py())
-        right = left if one else np.flatnonzero(side == key[2].as_py())
-        out = []
-        if len(left) and len(right):
-            words = np.concatenate([sets[i] for i in right])
-            owner = np.repeat(np.arange(len(right)), size[right])
+        def lists(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            words = np.concatenate([sets[i] for i in of]) if len(of) else np.zeros(0, np.uint64)
+            owner = np.repeat(np.arange(len(of)), size[of])
             order = np.argsort(words, kind="stable")
-            words, owner = words[order], owner[order]
-            for i in left:
-                lo, hi = np.searchsorted(words, sets[i], "left"), np.searchsorted(words, sets[i], "right")
-                n = hi - lo
-                flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                same = np.bincount(owner[flat], minlength=len(right))
-                for j in right[rule.den * same >= rule.num * (size[i] + size[right] - same)]:
-                    p, q = find(int(comp[i])), find(int(comp[j]))
-                    if p != q:
-                        root[p] = q
-                        out.append((int(ids[i]), int(ids[j])))
+            return of, words[order], owner[order]
+
+        if key[1].as_py() == key[2].as_py():
+            sides = [lists(np.arange(len(ids)))] * 2
+            other = np.zeros(len(ids), int)
+        else:
+            sides = [lists(np.flatnonzero(side == k.as_py())) for k in key[1:]]
+            other = np.where(side == key[1].as_py(), 1, 0)
+        out, largest, left = [], int(members.argmax()), len(names)
+        for i in np.argsort(members[comp], kind="stable"):
+            if left == 1:
+                break
+            if find(comp[i]) == largest:
+                continue
+            of, words, owner = sides[other[i]]
+            lo, hi = np.searchsorted(words, sets[i], "left"), np.searchsorted(words, sets[i], "right")
+            n = hi - lo
+            flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            same = np.bincount(owner[flat], minlength=len(of))
+            for j in of[rule.den * same >= rule.num * (size[i] + size[of] - same)]:
+                p, q = find(comp[i]), find(comp[j])
+                if p != q:
+                    root[p] = q
+                    members[q] += members[p]
+                    left -= 1
+                    if p == largest or members[q] > members[largest]:
+                        largest = q
+                    out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
