@@ -242,7 +242,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def _scan(rule: Rule):
     """Links that join components, between two blocks or within one, by counting overlaps over inverted lists.
 
-    Sets of the largest component are not scanned: what could join them to others is found from those.
+    Sets of the component that is largest at first, and of what joins it, are not scanned: links to others are found from those.
     """
 
     def run(key, table):
@@ -285,9 +285,8 @@ def _scan(rule: Rule):
                 p, q = find(comp[i]), find(comp[j])
                 if p != q:
                     root[p] = q
-                    members[q] += members[p]
                     left -= 1
-                    if p == largest or members[q] > members[largest]:
+                    if p == largest:
                         largest = q
                     out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
