@@ -132,9 +132,10 @@ def findings(docs: DataFrame, labelled: DataFrame | None = None, **kw) -> DataFr
 
 
 def masked(docs: DataFrame, labelled: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with each secret of the text replaced by mask."""
-    found = scored(candidates(docs, id_col=id_col, text_col=text_col), labelled).where("is_secret")
-    spans = written(found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "secrets")
+    """docs with each secret of the text, wherever it stands there, replaced by mask."""
+    found = scored(candidates(docs, id_col=id_col, text_col=text_col), labelled)
+    values = found.groupBy("doc_id", "text_key", "value").agg(F.bool_or("is_secret").alias("secret"), F.collect_set(F.struct("start", "end")).alias("s")).where("secret")
+    spans = written(values.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "secrets")
     spans = F.broadcast(spans) if spans.agg(F.coalesce(F.sum(F.size("spans") + 2), F.lit(0))).first()[0] <= BROADCAST_ROWS else spans
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
