@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .staging import written
 
-_CHAR = "[A-Za-z0-9+/_=-]"
+_CHAR = "[A-Za-z0-9+/_-]"
 _NAME = "(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|access_?key|auth)"
 PATTERN = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    rf"|(?<!{_CHAR})(?={_CHAR}{{16}})(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z]){_CHAR}++"
+    rf"|(?<!{_CHAR})(?={_CHAR}{{16}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_CHAR}++={{0,2}}+"
     rf"|(?<=[=:\"'] {{0,1}})(?<={_NAME}[\"']{{0,1}} {{0,2}}[:=] {{0,2}}[\"']{{0,1}})[^\s\"']{{8,}}+"
 )
 AROUND, FINDINGS, TREES, DEPTH, THRESHOLD = 48, 6000, 24, 7, 0.5
