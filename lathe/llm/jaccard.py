@@ -46,8 +46,8 @@ from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Lists longer than LONG are dealt to blocks of BLOCK shingles.
 MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 21, 128
-#: Tables of so few rows of fixed width may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Tables of up to so many rows with a single long, or a quarter of that with four, may be broadcast.
+BROADCAST_ROWS = 3_000_000
 #: What a list entry costs, in subsets: it is matched, and its candidates' sets are read.
 ENTRY_COST = 10
 
@@ -183,7 +183,7 @@ def _light_links(sets: DataFrame, rule: Rule, light: int) -> DataFrame:
 
 def _small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if len(df.columns) * df.count() <= BROADCAST_ROWS else df
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -304,7 +304,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), "doc_id long, n long, d1 long, d2 long, tokens array<long>, cells binary"), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
-    sets = rows.withColumn("id", F.col("doc_id")).join(classes, [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
+    sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
     light = rule.boundary({r["n"]: r["count"] for r in classes.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()})
 
     links = written(_light_links(sets, rule, light), "light")
@@ -312,7 +312,8 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     prefix = F.expr(f"CAST(n - ({rule.num} * n + {rule.den - 1}) div {rule.den} + 1 AS INT)")
     entries = sets.where(F.col("n") >= least).select(F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"), "id", "n")
     lists = written(entries.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "lists")
-    entries = written(entries.join(_small(lists), "token"), "entries")
+    met = entries.join(_small(lists.select("token")), "token", "left_semi")
+    entries = written(met.join(lists, "token"), "entries")
 
     # First round: each list's members against its smallest.
     stars = entries.where("id <> first").select(F.col("first").alias("b"), F.col("id").alias("a")).distinct()
