@@ -14,10 +14,12 @@ these; light sets large enough to link with a heavy one are in the lists too.
 Pairs whose shingles, counted by CELLS classes of their hashes, cannot overlap
 enough are dropped before any set is read.
 Each list first tries all members against its smallest; members found to be
-linked form one component. What is left, members of one list in different
-components, is grouped: by possible pairs in short lists, as a whole in long
-ones. Groups are dealt to blocks of bounded size, and each pair of blocks counts
-overlaps by scanning the lists of its shingles. A set is sent to its blocks
+linked form one component. What is left is members of one list in different
+components. Long lists are divided by a second shingle, which the members of a
+link share too if the prefix is longer by one; this parts those that share one
+passage by chance. Then they are grouped: by possible pairs in short lists, as a
+whole in lists that are still long. Groups are dealt to blocks of bounded size,
+and each pair of blocks counts overlaps by scanning the lists of its shingles. A set is sent to its blocks
 once, not to each pair, and no long list's pairs are written out.
 
 B is the boundary at which the subsets to list and the list entries to scan,
@@ -37,7 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -112,7 +114,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(known: np.ndarray, rule: Rule):
-    """doc_id, n, two hashes of the set, its shingles (all of small sets, else the prefix) with the rare ones first, and its counts by cells."""
+    """doc_id, n, two hashes of the set, its shingles (all of small sets, else the prefix and one more) with the rare ones first, and its counts by cells."""
     place = np.argsort(known.view(np.uint64))
     values = known.view(np.uint64)[place]
 
@@ -131,7 +133,7 @@ def _sets(known: np.ndarray, rule: Rule):
                     p = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     hit = values[p] == s
                     rank[hit] = place[p[hit]] + 1
-                keep = s[np.lexsort((s, rank))][: n if n <= MOST_LIGHT else rule.prefix(n)]
+                keep = s[np.lexsort((s, rank))][: n if n <= MOST_LIGHT else rule.prefix(n) + 1]
                 d1, d2 = int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51))).view(np.int64))
             else:
                 keep, d1, d2 = s, 0, 0
@@ -328,8 +330,10 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     apart = _labelled(entries, label)
     open_lists = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     apart = written(apart.join(open_lists, "token", "left_semi"), "apart")
-    pairs = written(_possible(_short_pairs(apart.where(F.col("len") <= LONG), rule), sets, rule), "pairs")
-    together = pairs.unionAll(apart.where((F.col("len") > LONG) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
+    divided = written(_divided(apart.where(F.col("len") > LONG), sets, prefix), "divided")
+    short = _short_pairs(apart.where((F.col("len") <= LONG) & (F.col("id") != F.col("first"))), rule).unionAll(_short_pairs(divided.where(F.col("len") <= LONG), rule))
+    pairs = written(_possible(short.distinct(), sets, rule), "pairs")
+    together = pairs.unionAll(divided.where((F.col("len") > LONG) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
     blocks = written(_blocks(apart, components(together)), "blocks")
     full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule), "full")
     more = written(_block_links(blocks, full, rule), "more")
@@ -340,7 +344,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
         every = label.select("id", "component").unionAll(ids(more).select("id", F.col("id").alias("component")).join(label, "id", "left_anti"))
         every = every.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
         label = written(every.select("id", F.coalesce("to", "component").alias("component")), "label")
-    discard(entries, apart, pairs, blocks, more, full)
+    discard(entries, apart, divided, pairs, blocks, more, full)
 
     class_of = _labelled(classes, label).select(*by, F.col("comp").alias("component_id"))
     out = rows.select("doc_id", *by).join(class_of, by, "left")
@@ -363,9 +367,24 @@ def one_of_each(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col
     return kept
 
 
+def _divided(entries: DataFrame, sets: DataFrame, prefix: Column) -> DataFrame:
+    """Members of long lists by list and a later shingle of the prefix and one more. Only lists of several components are kept.
+
+    Of the shingles that the members of a link share, the first two in order are
+    within that length on both sides, so the first's list, divided by the second,
+    has both members.
+    """
+    later = F.expr("slice(tokens, CAST(array_position(tokens, token) AS INT) + 1, size(tokens))")
+    found = entries.join(sets.select("id", F.slice("tokens", F.lit(1), prefix + 1).alias("tokens")), "id")
+    found = found.select("token", "id", "n", "comp", F.explode(later).alias("second")).select(F.xxhash64("token", "second").alias("token"), "id", "n", "comp")
+    lists = found.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    lists = written(lists.where("c0 < c1").select("token", "len", "first"), "lists")
+    return found.join(_small(lists), "token")
+
+
 def _short_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs within short lists whose sizes allow a link; those with a list's smallest have been tried."""
-    listed = entries.where("id <> first").groupBy("token").agg(F.collect_list(F.struct("id", "n", "comp")).alias("x"))
+    """Pairs within short lists whose sizes allow a link."""
+    listed = entries.groupBy("token").agg(F.collect_list(F.struct("id", "n", "comp")).alias("x"))
     pairs = listed.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q"))
     pairs = pairs.where(f"p.id < q.id AND p.comp <> q.comp AND {rule.den} * least(p.n, q.n) >= {rule.num} * greatest(p.n, q.n)")
     return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
