@@ -8,16 +8,15 @@ share c shingles, where c depends on s and t alone; so each light set lists the
 hashes of its c-subsets for each size of partner, and equal entries are links.
 
 Heavy sets: inverted lists, from shingles to sets. Links need a common shingle
-among the rarest n - ceil(num * n / den) + 1 of each side, so the lists hold
-these; light sets large enough to link with a heavy one are in the lists too.
+among the rarest n - ceil(num * n / den) + 1 of each side, and two if it is one
+more, so the lists hold these; light sets large enough to link with a heavy one are in the lists too.
 "Rare" is any order that all sides share: shingles known as frequent come last.
 Pairs whose shingles, counted by CELLS classes of their hashes, cannot overlap
 enough are dropped before any set is read.
 Each list first tries all members against its smallest; members found to be
 linked form one component. What is left is members of one list in different
-components. Long lists are divided by a second shingle, which the members of a
-link share too if the prefix is longer by one; this parts those that share one
-passage by chance. Then they are grouped: by possible pairs in short lists, as a
+components. Long lists are divided by a second one that the members of a link
+share; this parts those that share one shingle by chance. Then they are grouped: by possible pairs in short lists, as a
 whole in lists that are still long. Groups are dealt to blocks of bounded size,
 and each pair of blocks counts overlaps by scanning the lists of its shingles. A set is sent to its blocks
 once, not to each pair, and no long list's pairs are written out.
@@ -312,7 +311,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     links = written(_light_links(sets, rule, light), "light")
     least = -(-rule.num * (light + 1) // rule.den)
     prefix = F.expr(f"CAST(n - ({rule.num} * n + {rule.den - 1}) div {rule.den} + 1 AS INT)")
-    entries = sets.where(F.col("n") >= least).select(F.explode(F.slice("tokens", F.lit(1), prefix)).alias("token"), "id", "n")
+    entries = sets.where(F.col("n") >= least).select(F.posexplode(F.slice("tokens", F.lit(1), prefix + 1)).alias("pos", "token"), "id", "n")
     lists = written(entries.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "lists")
     met = entries.join(_small(lists.select("token")), "token", "left_semi")
     entries = written(met.join(lists, "token"), "entries")
@@ -330,7 +329,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     apart = _labelled(entries, label)
     open_lists = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     apart = written(apart.join(open_lists, "token", "left_semi"), "apart")
-    divided = written(_divided(apart.where(F.col("len") > LONG), sets, prefix), "divided")
+    divided = written(_divided(apart), "divided")
     short = _short_pairs(apart.where((F.col("len") <= LONG) & (F.col("id") != F.col("first"))), rule).unionAll(_short_pairs(divided.where(F.col("len") <= LONG), rule))
     pairs = written(_possible(short.distinct(), sets, rule), "pairs")
     together = pairs.unionAll(divided.where((F.col("len") > LONG) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
@@ -367,16 +366,16 @@ def one_of_each(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col
     return kept
 
 
-def _divided(entries: DataFrame, sets: DataFrame, prefix: Column) -> DataFrame:
-    """Members of long lists by list and a later shingle of the prefix and one more. Only lists of several components are kept.
+def _divided(entries: DataFrame) -> DataFrame:
+    """Members of long lists by list and a second one that comes later in their order. Only those of several components are kept.
 
     Of the shingles that the members of a link share, the first two in order are
-    within that length on both sides, so the first's list, divided by the second,
-    has both members.
+    in the lists on both sides, so the first's list, divided by the second, has
+    both members.
     """
-    later = F.expr("slice(tokens, CAST(array_position(tokens, token) AS INT) + 1, size(tokens))")
-    found = entries.join(sets.select("id", F.slice("tokens", F.lit(1), prefix + 1).alias("tokens")), "id")
-    found = found.select("token", "id", "n", "comp", F.explode(later).alias("second")).select(F.xxhash64("token", "second").alias("token"), "id", "n", "comp")
+    later = entries.select("id", F.col("token").alias("second"), F.col("pos").alias("at"))
+    found = entries.where(F.col("len") > LONG).select("token", "pos", "id", "n", "comp").join(later, "id").where("at > pos")
+    found = found.select(F.xxhash64("token", "second").alias("token"), "id", "n", "comp")
     lists = found.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     lists = written(lists.where("c0 < c1").select("token", "len", "first"), "lists")
     return found.join(_small(lists), "token")
