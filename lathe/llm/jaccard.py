@@ -11,7 +11,8 @@ Heavy sets: inverted lists, from shingles to sets. Links need a common shingle
 among the rarest n - ceil(num * n / den) + 1 of each side, and two if it is one
 more, so the lists hold these; light sets large enough to link with a heavy one are in the lists too.
 "Rare" is any order that all sides share: shingles known as frequent come last.
-Pairs whose shingles, counted by CELLS classes of their hashes, cannot overlap
+Those that are found to have long lists join them, before the lists are used.
+Pairs whose shingles, counted by classes of their hashes, cannot overlap
 enough are dropped before any set is read.
 Each list first tries all members against its smallest; members found to be
 linked form one component. What is left is members of one list in different
@@ -47,6 +48,9 @@ from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Lists longer than LONG are dealt to blocks of BLOCK shingles.
 MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 21, 128
+#: How often shingles that turn out to have long lists are put behind the others; only sets whose prefix has one are made anew.
+REORDERS = 2
+SETS = "doc_id long, n long, d1 long, d2 long, tokens array<long>, cells binary"
 #: Tables of up to so many rows with a single long, or a quarter of that with four, may be broadcast.
 BROADCAST_ROWS = 3_000_000
 #: What a list entry costs, in subsets: it is matched, and its candidates' sets are read.
@@ -136,7 +140,8 @@ def _sets(known: np.ndarray, rule: Rule):
                 d1, d2 = int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51))).view(np.int64))
             else:
                 keep, d1, d2 = s, 0, 0
-            cells = np.minimum(np.bincount((s >> np.uint64(11)).astype(np.int64) % CELLS, minlength=CELLS), 255)
+            width = CELLS << max(0, (n // (8 * CELLS)).bit_length())
+            cells = np.minimum(np.bincount((s >> np.uint64(11)).astype(np.int64) % width, minlength=width), 255)
             rows.append((ids[i], n, d1, d2, keep.view(np.int64), cells.astype(np.uint8).tobytes()))
             if len(rows) == 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -208,15 +213,22 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose counts by cells allow a link. A count of 255 may stand for more."""
+    """The pairs (a, b) whose counts by cells allow a link. A count of 255 may stand for more.
+
+    A set has CELLS cells or that times a power of two, about eight shingles
+    each; cells of the larger side are summed to those of the smaller.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in (2, 3))
-            n = np.asarray(batch.column(4)) + np.asarray(batch.column(5))
-            most = np.minimum(x, y).sum(1, dtype=np.int64) + (1 << 40) * ((x == 255) & (y == 255)).any(1)
-            keep = rule.den * most >= rule.num * (n - most)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+            total, keep = np.asarray(batch.column(4)) + np.asarray(batch.column(5)), []
+            for x, y, n in zip(batch.column(2), batch.column(3), total.tolist(), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int64) for v in (x, y))
+                width = min(len(x), len(y))
+                x, y = (np.where(v == 255, 1 << 40, v).reshape(-1, width).sum(0) for v in (x, y))
+                most = int(np.minimum(x, y).sum())
+                keep.append(rule.den * most >= rule.num * (n - most))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (cells.select(F.col("id").alias(i), F.col("cells").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "x", "p"), ("b", "y", "q")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
@@ -295,6 +307,13 @@ def _scan(rule: Rule):
     return run
 
 
+def _lists(sets: DataFrame, least: int, prefix: Column) -> tuple[DataFrame, DataFrame]:
+    """Entries (id, n, pos, token) of the heavy sets and those that may link with them, and the lists of two or more."""
+    entries = sets.where(F.col("n") >= least).select(F.posexplode(F.slice("tokens", F.lit(1), prefix + 1)).alias("pos", "token"), "id", "n")
+    lists = entries.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return entries, written(lists, "lists")
+
+
 def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     return entries.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
@@ -302,17 +321,31 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), "doc_id long, n long, d1 long, d2 long, tokens array<long>, cells binary"), "sets")
+    known = frequent(docs, rule.k)
+    rows = written(docs.mapInArrow(_sets(known, rule), SETS), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
-    sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
+    of_classes = lambda rows: rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
+    sets = of_classes(rows)
     light = rule.boundary({r["n"]: r["count"] for r in classes.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()})
 
     links = written(_light_links(sets, rule, light), "light")
     least = -(-rule.num * (light + 1) // rule.den)
     prefix = F.expr(f"CAST(n - ({rule.num} * n + {rule.den - 1}) div {rule.den} + 1 AS INT)")
-    entries = sets.where(F.col("n") >= least).select(F.posexplode(F.slice("tokens", F.lit(1), prefix + 1)).alias("pos", "token"), "id", "n")
-    lists = written(entries.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "lists")
+    whole, (entries, lists) = rows, _lists(sets, least, prefix)
+    for _ in range(REORDERS):
+        long = lists.where(F.col("len") > LONG).select("token", "len")
+        found = np.asarray(long.orderBy(F.desc("len"), "token").limit(FREQUENT).toArrow().column("token")).astype(np.int64)[::-1]
+        found = found[~np.isin(found, known)]
+        if not len(found):
+            break
+        known = np.concatenate([found, known])
+        new = _small(docs.sparkSession.createDataFrame(pa.table({"token": found})))
+        moved = written(entries.join(new, "token", "left_semi").select("id").distinct(), "moved")
+        again = docs.join(_small(moved), docs["doc_id"] == moved["id"], "left_semi").mapInArrow(_sets(known, rule), SETS)
+        whole = written(whole.join(_small(moved), whole["doc_id"] == moved["id"], "left_anti").unionAll(again), "sets")
+        sets = of_classes(whole)
+        entries, lists = _lists(sets, least, prefix)
     met = entries.join(_small(lists.select("token")), "token", "left_semi")
     entries = written(met.join(lists, "token"), "entries")
 
