@@ -33,6 +33,8 @@ from .staging import discard, written
 
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, FOLDS, THRESHOLD = 3, 0.97, 0.3, 5, 0.5
 SOURCES = 512
+#: The share of distinct words is the mean over a text's consecutive blocks of so many words, weighted by their words: a whole text's share falls with its length.
+BLOCK = 400
 #: Upper ends of the classes of each statistic of a text.
 EDGES = {
     "words": (1, 5, 20, 60, 200, 1000), "upper": (0.005, 0.02, 0.04, 0.08, 0.15, 0.3, 0.6), "digits": (0.0005, 0.002, 0.01, 0.03, 0.1, 0.3), "signs": (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.35),
@@ -63,7 +65,7 @@ def text_classes(text: str | None) -> list[int]:
     upper = sum(c for w, c in seen.items() if len(w) > 1 and w.isupper())
     signed = sum(c for w, c in seen.items() if not w[-1:].isalnum() and w[-1] < 128)
     values = (
-        m, count[65:91].sum() / letters, count[48:58].sum() / n, count[_SIGNS].sum() / n, count[_RARE].sum() / n, sum(map(len, words)) / m, len(seen) / m if m < 400 else len(set(words[:400])) / 400,
+        m, count[65:91].sum() / letters, count[48:58].sum() / n, count[_SIGNS].sum() / n, count[_RARE].sum() / n, sum(map(len, words)) / m, sum(len(set(words[i : i + BLOCK])) for i in range(0, m, BLOCK)) / m,
         1 - len(set(lines)) / len(lines), n / len(lines), max(seen.values()) / m, upper / m, signed / m, count[33] / m, same / m,
     )
     return [int(np.searchsorted(e, v, "right")) for e, v in zip(_EDGES, values, strict=True)]

@@ -26,3 +26,13 @@ def test_cases(spark):
     assert len(out) == len(rows) and all(r["keep"] and r["score"] == 1.0 for r in out)  # labels of one kind only
     assert quality.scored(df.limit(0), labels).collect() == []
     assert quality.filtered(df, labels).count() == len(rows)
+
+
+def test_distinct_words_of_the_tail():
+    """What stands after the first 400 words counts."""
+    at = list(quality.EDGES).index("distinct")
+    head = " ".join(f"w{i}" for i in range(400))
+    clean, tail = head + " " + " ".join(f"v{i}" for i in range(1200)), head + " again" * 1200
+    assert quality.text_classes(head)[at] == quality.text_classes(clean)[at] == len(quality.EDGES["distinct"])
+    assert quality.text_classes(tail)[at] == 2  # (400 + 3) / 1600
+    assert quality.text_classes("a b a b")[at] == 5 and quality.text_classes("a " * 401)[at] == 0
