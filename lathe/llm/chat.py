@@ -7,8 +7,8 @@ symbols: its speaker marker, whether a blank line or nothing is before it, its
 length class and whether it ends in a question mark. Tables of the model are
 counts over labelled transcripts, summed in Spark.
 
-Viterbi: a transcript is dealt to parts of PART positions. For transcripts with
-several parts, each part first gives the best scores from any state before it to
+Viterbi: a transcript of more than PART rows is dealt to parts of PART rows at
+most, in the order of position and text; equal rows may be parted. Each part first gives the best scores from any state before it to
 any state at its end (six by six numbers); these are chained, which fixes the
 states at the parts' ends, and then all parts are traced back independently. The
 path is the one that a single pass would find, and no task reads a whole long
@@ -16,8 +16,8 @@ transcript.
 
 A row of the result is a turn, or a part's share of one (continues says that it
 goes on from the part before); its rendered texts, in order, are the canonical
-transcript. Null text is an empty line. Rows without id form one transcript, of
-which each part stands for itself; rows without position come first. Rows that
+transcript. Null text is an empty line. A row without id is a transcript of its
+own, and is not dealt; rows without position come first. Rows that
 repeat a position follow each other in the order of their texts. An empty table
 gives no rows. Extra columns are not read.
 """
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import written
+
 ROLES, PART = ("system", "user", "assistant"), 4096
 N = 2 * len(ROLES)  # states: role, begins or goes on
 MARKERS = {
@@ -119,8 +121,15 @@ def _dealt(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _input(rows: DataFrame, id_col: str, pos_col: str, text_col: str) -> DataFrame:
-    out = rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(pos_col).cast("long").alias("pos"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return out.withColumn("part", F.coalesce(F.floor(F.col("pos") / PART), F.lit(-1)).cast("long"))
+    return rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(pos_col).cast("long").alias("pos"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _parted(rows: DataFrame, long: DataFrame) -> DataFrame:
+    """The rows of long transcripts with part, which rises with (pos, text): PART rows that follow each other in one range at most."""
+    order = ["conv_id", "pos", "text", "salt"]  # the salt parts rows that are equal otherwise
+    found = rows.join(F.broadcast(long), "conv_id").withColumn("salt", F.rand(7))
+    found = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(found.select("conv_id", "pos", "text", F.expr(f"monotonically_increasing_id() div {PART}").alias("part")), "parts")
 
 
 def trained(labelled: DataFrame, *, id_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text", role_col: str = "role") -> Model:
@@ -192,33 +201,50 @@ TURNS = "conv_id long, pos long, line long, role string, n_lines long, continues
 def parsed(transcripts: DataFrame, model: Model, *, id_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text") -> DataFrame:
     """Turns of transcripts: where each begins (position, line there), its role, lines and rendered text."""
     rows = _input(transcripts, id_col, pos_col, text_col)
-    several = rows.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last AND conv_id IS NOT NULL").select("conv_id", "first")
+    named = rows.where("conv_id IS NOT NULL")
+    # One row for PART of the input at most: small enough to broadcast.
+    long = written(named.groupBy("conv_id").count().where(F.col("count") > PART).select("conv_id"), "long")
+
+    def turns(conv, before, end, fresh, last, found) -> list[tuple]:
+        lines = [(pos, i, x) for pos, t in found for i, x in enumerate(t.split("\n"))]
+        states = model.path(_symbols([x for *_, x in lines], fresh is not False), before, end)
+        starts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0]
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
+            role, goes_on = ROLES[states[a] // 2], states[a] % 2 == 1
+            text = [x for *_, x in lines[a:b]]
+            if not goes_on:
+                text[0] = text[0][marker(text[0])[1] :]
+            head = "" if goes_on else f"<|im_start|>{role}\n"
+            out.append((conv, lines[a][0], lines[a][1], role, b - a, goes_on, head + "\n".join(text)))
+        # A part's last turn stays open if a part follows; that one's first row goes on with it or closes it.
+        for k, row in enumerate(out):
+            head = ("\n" if row[5] else "<|im_end|>\n") if k == 0 and before is not None else ""
+            out[k] = (*row[:6], head + row[6] + ("" if last is False and k == len(out) - 1 else "<|im_end|>\n"))
+        return out
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "pos", "line", "role", "n_lines", "continues", "rendered"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, _, before, end, fresh, last), found in _parts(batches, 6):
-            lines = [(pos, i, x) for pos, t in found for i, x in enumerate(t.split("\n"))]
-            states = model.path(_symbols([x for *_, x in lines], fresh is not False), before, end)
-            starts = [i for i, s in enumerate(states) if i == 0 or s % 2 == 0]
-            out = []
-            for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
-                role, goes_on = ROLES[states[a] // 2], states[a] % 2 == 1
-                text = [x for *_, x in lines[a:b]]
-                if not goes_on:
-                    text[0] = text[0][marker(text[0])[1] :]
-                head = "" if goes_on else f"<|im_start|>{role}\n"
-                out.append((conv, lines[a][0], lines[a][1], role, b - a, goes_on, head + "\n".join(text)))
-            # A part's last turn stays open if a part follows; that one's first row goes on with it or closes it.
-            for k, row in enumerate(out):
-                head = ("\n" if row[5] else "<|im_end|>\n") if k == 0 and before is not None else ""
-                out[k] = (*row[:6], head + row[6] + ("" if last is False and k == len(out) - 1 else "<|im_end|>\n"))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "pos", "line", "role", "n_lines", "continues", "rendered"])
-
-    if several.isEmpty():
-        rows = rows.withColumn("before", F.lit(None).cast("long")).withColumn("end", F.lit(None).cast("long")).withColumn("fresh", F.lit(True)).withColumn("last", F.lit(True))
-    else:
-        rows = rows.join(_ends(rows.join(several, "conv_id"), model), ["conv_id", "part"], "left")
-    return _dealt(rows, "before", "end", "fresh", "last").mapInArrow(run, TURNS)
+            yield table(turns(conv, before, end, fresh, last, found))
+
+    def run_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield table([x for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in turns(None, None, None, True, True, [row])])
+
+    none = F.lit(None).cast("long")
+    whole = named.select("*", F.lit(0).cast("long").alias("part"), none.alias("before"), none.alias("end"), F.lit(True).alias("fresh"), F.lit(True).alias("last"))
+    if not long.isEmpty():
+        parts = _parted(named, long)
+        first = parts.groupBy("conv_id").agg(F.min("part").alias("first"))
+        ended = parts.join(_ends(parts.join(F.broadcast(first), "conv_id"), model), ["conv_id", "part"])
+        whole = whole.join(F.broadcast(long), "conv_id", "left_anti").unionByName(ended)
+    alone = rows.where("conv_id IS NULL").select("pos", "text")
+    return _dealt(whole, "before", "end", "fresh", "last").mapInArrow(run, TURNS).unionAll(alone.mapInArrow(run_alone, TURNS))
 
 
 def transcript_lines(conversations: DataFrame) -> DataFrame:

@@ -50,6 +50,25 @@ def test_parts_give_the_same(spark, parts, monkeypatch):
     assert chat.parsed(df.limit(0), model).collect() == []
 
 
+def test_parts_are_bounded(spark, parts, monkeypatch):
+    """Rows without id are transcripts of their own; rows that repeat a position, or have none, are parted."""
+    model = parts[0]
+    monkeypatch.setattr(chat, "PART", 4)
+    alone = [(None, p, t) for p in (None, 3) for t in ("plain\nand so", "plain\nand so", "x" * 90, "AI: y") for _ in range(10)]
+    rows = [(1, 5, "plain")] * 30 + [(2, None, f"word {i:02d}") for i in range(30)] + [(3, 10**9 * i, "User: far") for i in range(3)]
+    out = chat.parsed(spark.createDataFrame(alone + rows, "conv_id long, turn long, text string").repartition(3), model).collect()
+    each = [(p, s) for _, p, t in alone for s in [model.path(chat._symbols(t.split("\n")))]]
+    assert sum(r["conv_id"] is None for r in out) == sum(1 + sum(x % 2 == 0 for x in s[1:]) for _, s in each)
+    assert sum(r["n_lines"] for r in out if r["conv_id"] is None) == sum(len(s) for _, s in each)
+    for c, n in ((1, 30), (2, 30), (3, 3)):
+        mine = [r for r in out if r["conv_id"] == c]
+        lines = [t for i, _, t in rows if i == c]
+        states = model.path(chat._symbols(lines))
+        assert sum(r["n_lines"] for r in mine) == n and max(r["n_lines"] for r in mine) <= 4
+        assert sum(not r["continues"] for r in mine) == sum(s % 2 == 0 for s in states)
+        assert sum(r["rendered"].count("<|im_end|>") for r in mine) == sum(r["rendered"].count("<|im_start|>") for r in mine)
+
+
 def test_path_by_brute_force(parts):
     import itertools
 
