@@ -384,19 +384,27 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
 
 
 def one_of_each(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that are linked, directly or over others, with a smaller id. Of rows with one id, one text stays.
+    """The rows of docs without those that are linked, directly or over others, with an earlier row.
 
-    Rows without shingles or id are all kept.
+    Rows stand in the order of their ids; rows with one id are decided each, in the
+    order of hashes of their text and of their other columns. Rows without shingles
+    or id are all kept.
     """
-    found = written(linked(docs, rule, id_col=id_col, text_col=text_col), "linked")
+    rows, key = docs, id_col
+    ids = docs.select(F.col(id_col).cast("long").alias("__id")).where("__id IS NOT NULL")
+    if not ids.groupBy("__id").count().where("count > 1").isEmpty():
+        rows, key = _numbered(docs, id_col, text_col), "__row"
+    found = written(linked(rows, rule, id_col=key, text_col=text_col), "linked")
     gone = written(found.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    twice = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    kept = docs.join(_small(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    if not twice.isEmpty():
-        shared = F.col(id_col).cast("long") == F.col("__twice")
-        some = kept.join(twice, shared, "left_semi").dropDuplicates([id_col])
-        kept = kept.join(twice, shared, "left_anti").unionByName(some)
-    return kept
+    return rows.join(_small(gone), F.col(key).cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with __row, different in each row with an id and rising with the id. The salt deals rows that are equal otherwise."""
+    others = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    order = {"__id": F.col(id_col).cast("long"), "__text": F.xxhash64(text_col), "__others": F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0), "__salt": F.rand(7)}
+    rows = docs.withColumns(order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(rows.withColumn("__row", F.when(F.col("__id").isNotNull(), F.monotonically_increasing_id())).drop(*order), "rows")
 
 
 def _divided(entries: DataFrame) -> DataFrame:

@@ -67,6 +67,27 @@ def test_copies(spark, rule, monkeypatch):
     assert check(spark, rows, rule) == want
 
 
+def test_one_of_each(spark):
+    """Decided by row: of each component of rows one of the smallest id stays, and all rows without shingles or id."""
+    rng, rule = random.Random(4), Rule(5, 80, 100)
+    rows = copies(rng, 4, 40, 3) + [(500, "a clean text of its own words here"), (500, ""), (500, None), (500, " "), (600, "one two three four five six"), (600, "one two three four five six"), (600, "one two three four five six")]
+    rows += [(601, "one two three four five six"), (601, "quite another text than the one before it"), (601, ""), (None, "one two three four five six"), (None, "one two three four five six")]
+    df = spark.createDataFrame([(str(k), i, t, 0.5) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    kept = {int(r["n_shingles"]) for r in jaccard.one_of_each(df, rule).collect()}
+    lone = {k for k, (i, t) in enumerate(rows) if i is None or not (t or "").strip()}
+    assert lone <= kept
+    number = {k: n for n, k in enumerate(sorted(set(range(len(rows))) - lone, key=lambda k: (rows[k][0], k)))}
+    row_of = {n: k for k, n in number.items()}
+    groups = {}
+    for (_, n), _, first in plain([(n, rows[k][1]) for k, n in number.items()], rule):
+        groups.setdefault(first, []).append(row_of[n])
+    for members in groups.values():
+        stay = [k for k in members if k in kept]
+        assert len(stay) == 1 and rows[stay[0]][0] == min(rows[k][0] for k in members)
+    twice = jaccard.one_of_each(df.repartition(5), rule).collect()
+    assert {int(r["n_shingles"]) for r in twice} == kept and set(twice[0].asDict()) == set(df.columns)
+
+
 def test_light_sets(spark, monkeypatch):
     """All sizes as light sets."""
     monkeypatch.setattr(Rule, "boundary", lambda self, sizes: 24)
