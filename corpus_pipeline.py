@@ -31,8 +31,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of fixed length."""
-    return packing.packed(docs, tokenizer_path()).drop("ids")
+    """The pieces of which sequences of fixed length consist: document, tokens (ids, four bytes each), sequence and offset there."""
+    return packing.packed(docs, tokenizer_path(), keep_ids=True)
 
 
 STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
