@@ -59,7 +59,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "transitions": F.regexp_count(v, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")) / n,
         "digits": share("[0-9]"),
         "upper": share("[A-Z]"),
-        "distinct": F.size(F.array_distinct(F.split(F.left(v, F.lit(256)), ""))) / F.least(n, F.lit(256)),
+        # The mean over the value's consecutive runs of 256 characters: a whole value's share falls with its length.
+        "distinct": F.aggregate(F.regexp_extract_all(v, F.lit("(?s).{1,256}"), F.lit(0)), F.lit(0), lambda sum, run: sum + F.size(F.array_distinct(F.split(run, "")))) / n,
         "hexadecimal": has(v, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "separators": share("[-_/+=]"),
         "covered": covered,

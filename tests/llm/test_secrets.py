@@ -43,3 +43,12 @@ def test_masked(spark):
     assert out[2]["text"] == dict(ROWS)[2] and out[3]["text"] is None and out[4]["text"] == ""
     assert out[7]["text"] == "pad " * 60000 + "api_key: [SECRET]" and out[None]["text"] == "secret=[SECRET]"
     assert "BEGIN" not in out[6]["text"] and not re.search("hunter", out[8]["text"])
+
+
+def test_distinct_characters_of_the_tail(spark):
+    """What stands after the first 256 characters counts."""
+    run = "".join(chr(0x100 + i) for i in range(256))
+    values = {run: 1.0, run + "a" * 768: 259 / 1024, "a" * 256 + run: 257 / 512, "abab": 0.5, "é😀é": 2 / 3}
+    rows = spark.createDataFrame([(v, "", "") for v in values], "value string, before string, after string")
+    for r in secrets.with_features(rows).collect():
+        assert abs(r["distinct"] - values[r["value"]]) < 1e-12
