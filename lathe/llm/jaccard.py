@@ -7,27 +7,36 @@ Light sets, of at most B shingles: sets of sizes s <= t link just when they
 share c shingles, where c depends on s and t alone; so each light set lists the
 hashes of its c-subsets for each size of partner, and equal entries are links.
 
-Heavy sets: inverted lists, from shingles to sets. Links need a common shingle
-among the rarest n - ceil(num * n / den) + 1 of each side, and two if it is one
-more, so the lists hold these; light sets large enough to link with a heavy one are in the lists too.
-"Rare" is any order that all sides share: shingles known as frequent come last.
-Those that are found to have long lists join them, before the lists are used.
-Pairs whose shingles, counted by classes of their hashes, cannot overlap
-enough are dropped before any set is read.
-Each list first tries all members against its smallest; members found to be
-linked form one component. What is left is members of one list in different
-components. Long lists are divided by a second one that the members of a link
-share; this parts those that share one shingle by chance. Then they are grouped: by possible pairs in short lists, as a
-whole in lists that are still long. Groups are dealt to blocks of bounded size,
-and each pair of blocks counts overlaps by scanning the lists of its shingles. A set is sent to its blocks
-once, not to each pair, and no long list's pairs are written out.
+Heavy sets: inverted lists. Lists by single shingles grow with the square of the
+input, as unlike texts share some; so the lists are by classes of shingles. Sizes
+are divided into ranges, and in each range the hashes of shingles fall into m
+classes. Linked sets differ in at most d shingles, by their sizes, so they agree
+wholly in m - d classes at least; and of any order of classes' contents that both
+sides share, the first d + 1 of each side have one in common. Those of many rare
+shingles come first: an entry stands for two rare shingles or more wherever a set
+has them, and their number depends on the set's size alone. "Rare" are shingles
+that are not known as frequent; this steers the order, never the result. Light
+sets large enough to link with a heavy one are in the lists too.
+
+Each list first tries all members against its smallest; pairs whose shingles,
+counted by cells of their hashes, cannot overlap enough are dropped before any
+set is read. Members found to be linked form one component. What is left are
+lists whose other members are in different components. Lists that share members
+form groups, groups are dealt to blocks of bounded size, and each pair of blocks
+counts overlaps by scanning the inverted lists of its shingles. A set is sent to
+its blocks once, not to each pair; no list's pairs are written out. A group of S
+shingles is sent S / BLOCK times: the cost of sets that are all alike, though not
+linked, grows with the square of their number, that of all others in proportion.
 
 B is the boundary at which the subsets to list and the list entries to scan,
 weighed by their costs, are fewest for the sizes that are there.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows with
 equal ids count as one document with several texts. A null id has a null
-component. Extra columns are not read. Shingles are 64-bit hashes.
+component. Very long texts are read whole, as are all others; ties (equal
+similarity, equal sets) need no order, as every link counts. An empty table gives
+no rows. Extra columns are not read, whatever their names. Shingles are 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -35,26 +44,35 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .staging import discard, written
 from .words import hashed_words, mix, shingles
 
-#: Sets up to this size may be light. Shingles known as frequent, at most. Lists longer than LONG are dealt to blocks of BLOCK shingles.
-MOST_LIGHT, FREQUENT, LONG, BLOCK, CELLS = 40, 1 << 18, 32, 1 << 21, 128
-#: How often shingles that turn out to have long lists are put behind the others; only sets whose prefix has one are made anew.
-REORDERS = 2
-SETS = "doc_id long, n long, d1 long, d2 long, tokens array<long>, cells binary"
+#: Sets up to this size may be light. Shingles known as frequent, at most. Shingles in a block, at most; groups of more than SPREAD shingles are several blocks.
+MOST_LIGHT, FREQUENT, BLOCK, SPREAD, CELLS = 40, 1 << 18, 1 << 21, 1 << 17, 128
+SETS = "doc_id long, n long, d1 long, d2 long, tokens array<long>, entries array<long>, cells binary"
 #: Tables of up to so many rows with a single long, or a quarter of that with four, may be broadcast.
 BROADCAST_ROWS = 3_000_000
 #: What a list entry costs, in subsets: it is matched, and its candidates' sets are read.
 ENTRY_COST = 10
+#: Ranges of sizes begin at about the powers of this. Classes beyond those that may differ, as a share of these.
+RANGE, SPARE = 1.75, 0.25
+
+
+@cache
+def _starts() -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * RANGE)))
+    return np.array(out)
 
 
 class Rule(NamedTuple):
@@ -71,8 +89,23 @@ class Rule(NamedTuple):
     def partners(self, n: int) -> range:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+    def differing(self, sizes: int) -> int:
+        """The most shingles in which linked sets differ whose sizes add up to at most this."""
+        return sizes * (self.den - self.num) // (self.den + self.num)
+
+    def ranges(self, n: int) -> list[tuple[int, int, int]]:
+        """For a set's size: (range of the larger set's size, classes there, the set's entries)."""
+        starts = _starts()
+        i, out = int(np.searchsorted(starts, n, "right")) - 1, []
+        while self.den * n >= self.num * int(starts[i]):
+            last = int(starts[i + 1]) - 1
+            most = self.differing(2 * last)
+            out.append((i, most + 1 + int(most * SPARE), self.differing(n + min(last, self.den * n // self.num)) + 1))
+            i += 1
+        return out
+
+    def entries(self, n: int) -> int:
+        return sum(e for *_, e in self.ranges(n))
 
     def subsets(self, n: int) -> int:
         return sum(math.comb(n, self.shared(n, m)) for m in self.partners(n))
@@ -81,7 +114,7 @@ class Rule(NamedTuple):
         """The largest light size, for so many sets of each size up to MOST_LIGHT."""
         def cost(b: int) -> int:
             heavy = -(-self.num * (b + 1) // self.den)
-            return sum(c * ((n <= b) * self.subsets(n) + (n >= heavy) * ENTRY_COST * self.prefix(n)) for n, c in sizes.items())
+            return sum(c * ((n <= b) * self.subsets(n) + (n >= heavy) * ENTRY_COST * self.entries(n)) for n, c in sizes.items())
 
         return min(range(MOST_LIGHT), key=cost)
 
@@ -116,38 +149,56 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.asarray(found.column("h")).astype(np.int64)[::-1].copy()
 
 
+def _entries(s: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
+    """The keys of a set's inverted lists: in each range of sizes, of its first classes, those with most rare shingles first."""
+    h, out = mix(s + np.uint64(0x77)), []
+    for i, m, e in rule.ranges(len(s)):
+        of = (mix(s + np.uint64(i)) % np.uint64(m)).astype(np.int64)
+        sums = np.zeros(m, np.uint64)
+        np.add.at(sums, of, h)
+        key = mix(sums + mix(np.arange(m, dtype=np.uint64) + np.uint64(i << 40)))
+        out.append(key[np.lexsort((key, -np.bincount(of[~frequent], minlength=m)))[:e]])
+    return np.concatenate(out)
+
+
+def _lists_of(x: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, x)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64)))
+
+
 def _sets(known: np.ndarray, rule: Rule):
-    """doc_id, n, two hashes of the set, its shingles (all of small sets, else the prefix and one more) with the rare ones first, and its counts by cells."""
-    place = np.argsort(known.view(np.uint64))
-    values = known.view(np.uint64)[place]
+    """doc_id, n, two hashes of the set, the shingles of sets that may be light, the keys of its lists, and its counts by cells."""
+    values = np.sort(known.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "d1", "d2", "tokens", "cells"]
-        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
+        names = ["doc_id", "n", "d1", "d2", "tokens", "entries", "cells"]
         rows: list[tuple] = []
-        last = None
+        last, size = None, 0
+        none = np.zeros(0, np.uint64)
+
+        def table() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), _lists_of(cols[4]), _lists_of(cols[5]), pa.array(cols[6], pa.binary())], names)
+
         for batch, i, s in _each_set(batches, rule.k):
             if last is not batch:
                 ids, last = batch.column(0).to_pylist(), batch
             n = len(s)
+            d1 = d2 = 0
+            entries = none
             if n:
-                rank = np.zeros(n, np.int64)
-                if len(values):
-                    p = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    hit = values[p] == s
-                    rank[hit] = place[p[hit]] + 1
-                keep = s[np.lexsort((s, rank))][: n if n <= MOST_LIGHT else rule.prefix(n) + 1]
                 d1, d2 = int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(0x51))).view(np.int64))
-            else:
-                keep, d1, d2 = s, 0, 0
+                frequent = values[np.minimum(np.searchsorted(values, s), len(values) - 1)] == s if len(values) else np.zeros(n, bool)
+                entries = _entries(s, frequent, rule)
             width = CELLS << max(0, (n // (8 * CELLS)).bit_length())
             cells = np.minimum(np.bincount((s >> np.uint64(11)).astype(np.int64) % width, minlength=width), 255)
-            rows.append((ids[i], n, d1, d2, keep.view(np.int64), cells.astype(np.uint8).tobytes()))
-            if len(rows) == 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                rows = []
+            rows.append((ids[i], n, d1, d2, s if n <= MOST_LIGHT else none, entries, cells.astype(np.uint8).tobytes()))
+            size += len(entries) + width
+            if size > 400_000:
+                yield table()
+                rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            yield table()
 
     return run
 
@@ -196,20 +247,21 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """id, set: all shingles, sorted, of the documents in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        rows, sets, size, last = [], [], 0, None
         for batch, i, s in _each_set(batches, rule.k):
             if last is not batch:
                 names, last = batch.column(0).to_pylist(), batch
-            rows.append((names[i], s.tobytes()))
+            rows.append(names[i])
+            sets.append(s)
             size += len(s)
-            if size > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["id", "set"])
-                rows, size = [], 0
+            if size > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _lists_of(sets)], ["id", "set"])
+                rows, sets, size = [], [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _lists_of(sets)], ["id", "set"])
 
     wanted = docs.join(_small(ids), docs["doc_id"] == ids["id"], "left_semi")
-    return wanted.mapInArrow(run, "id long, set binary")
+    return wanted.mapInArrow(run, "id long, set array<long>")
 
 
 def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
@@ -236,20 +288,10 @@ def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                keep.append(rule.den * same >= rule.num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    same = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), same.alias("same"))
+    return both.where(rule.den * F.col("same") >= rule.num * (F.col("sizes") - F.col("same"))).select("a", "b")
 
 
 def _scan(rule: Rule):
@@ -260,7 +302,7 @@ def _scan(rule: Rule):
 
     def run(key, table):
         side = np.asarray(table.column("block"))
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set").combine_chunks()]
+        sets = [np.asarray(x.values).view(np.uint64) for x in table.column("set").combine_chunks()]
         size = np.array([len(s) for s in sets], np.int64)
         ids = np.asarray(table.column("id"))
         names, comp = np.unique(np.asarray(table.column("comp")), return_inverse=True)
@@ -307,11 +349,13 @@ def _scan(rule: Rule):
     return run
 
 
-def _lists(sets: DataFrame, least: int, prefix: Column) -> tuple[DataFrame, DataFrame]:
-    """Entries (id, n, pos, token) of the heavy sets and those that may link with them, and the lists of two or more."""
-    entries = sets.where(F.col("n") >= least).select(F.posexplode(F.slice("tokens", F.lit(1), prefix + 1)).alias("pos", "token"), "id", "n")
-    lists = entries.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return entries, written(lists, "lists")
+def _lists(sets: DataFrame, least: int) -> DataFrame:
+    """key, id, first: the entries of lists of two or more, with the smallest id in the list."""
+    entries = sets.where(F.col("n") >= least).select(F.explode("entries").alias("key"), "id")
+    # Nearly all keys occur once, so nothing is summed before they are dealt out.
+    lists = entries.repartition("key").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    lists = written(lists.select("key", "first"), "lists")
+    return written(entries.join(_small(lists), "key"), "entries")
 
 
 def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
@@ -321,54 +365,36 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = frequent(docs, rule.k)
-    rows = written(docs.mapInArrow(_sets(known, rule), SETS), "sets")
+    rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), SETS), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
-    of_classes = lambda rows: rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "cells")
-    sets = of_classes(rows)
+    sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "entries", "cells")
     light = rule.boundary({r["n"]: r["count"] for r in classes.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()})
 
     links = written(_light_links(sets, rule, light), "light")
-    least = -(-rule.num * (light + 1) // rule.den)
-    prefix = F.expr(f"CAST(n - ({rule.num} * n + {rule.den - 1}) div {rule.den} + 1 AS INT)")
-    whole, (entries, lists) = rows, _lists(sets, least, prefix)
-    for _ in range(REORDERS):
-        long = lists.where(F.col("len") > LONG).select("token", "len")
-        found = np.asarray(long.orderBy(F.desc("len"), "token").limit(FREQUENT).toArrow().column("token")).astype(np.int64)[::-1]
-        found = found[~np.isin(found, known)]
-        if not len(found):
-            break
-        known = np.concatenate([found, known])
-        new = _small(docs.sparkSession.createDataFrame(pa.table({"token": found})))
-        moved = written(entries.join(new, "token", "left_semi").select("id").distinct(), "moved")
-        again = docs.join(_small(moved), docs["doc_id"] == moved["id"], "left_semi").mapInArrow(_sets(known, rule), SETS)
-        whole = written(whole.join(_small(moved), whole["doc_id"] == moved["id"], "left_anti").unionAll(again), "sets")
-        sets = of_classes(whole)
-        entries, lists = _lists(sets, least, prefix)
-    met = entries.join(_small(lists.select("token")), "token", "left_semi")
-    entries = written(met.join(lists, "token"), "entries")
-
-    # First round: each list's members against its smallest.
-    stars = entries.where("id <> first").select(F.col("first").alias("b"), F.col("id").alias("a")).distinct()
-    stars = written(_possible(stars, sets, rule), "stars")
+    entries = _lists(sets, -(-rule.num * (light + 1) // rule.den))
+
+    # Each list's members against its smallest.
+    stars = entries.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    stars = written(_possible(stars, sets.select("id", "n", "cells"), rule), "stars")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = written(_shingle_sets(docs, ids(stars), rule), "full")
     found = written(links.select("a", "b").unionAll(_verified(stars, full, rule)), "found")
     label = components(found)
-    discard(links, lists, stars, found, full)
-
-    # Second round: members of one list that are in different components.
-    apart = _labelled(entries, label)
-    open_lists = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-    apart = written(apart.join(open_lists, "token", "left_semi"), "apart")
-    divided = written(_divided(apart), "divided")
-    short = _short_pairs(apart.where((F.col("len") <= LONG) & (F.col("id") != F.col("first"))), rule).unionAll(_short_pairs(divided.where(F.col("len") <= LONG), rule))
-    pairs = written(_possible(short.distinct(), sets, rule), "pairs")
-    together = pairs.unionAll(divided.where((F.col("len") > LONG) & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
-    blocks = written(_blocks(apart, components(together)), "blocks")
-    full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule), "full")
-    more = written(_block_links(blocks, full, rule), "more")
+    discard(links, stars, found, full)
+
+    # Other members of one list that are in different components.
+    rest = _labelled(entries.where("id <> first").select("key", "id"), label)
+    open_lists = rest.groupBy("key").agg(F.min("id").alias("second"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "second")
+    apart = written(rest.join(open_lists, "key"), "apart")
+    more = apart.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    blocks = full = None
+    if not apart.isEmpty():
+        group = components(apart.select(F.col("id").alias("a"), F.col("second").alias("b")))
+        members = apart.select("id", "comp").distinct().join(sets.select("id", "n"), "id").select("id", "n", "comp")
+        blocks = written(_blocks(members, group), "blocks")
+        full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule), "full")
+        more = written(_block_links(blocks, full, rule), "more")
     if not more.isEmpty():
         ends = [more.select(F.col(c).alias("id"), F.monotonically_increasing_id().alias("link")) for c in "ab"]
         a, b = (_labelled(e, label).select("link", F.col("comp").alias(c)) for e, c in zip(ends, "ab", strict=True))
@@ -376,7 +402,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
         every = label.select("id", "component").unionAll(ids(more).select("id", F.col("id").alias("component")).join(label, "id", "left_anti"))
         every = every.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
         label = written(every.select("id", F.coalesce("to", "component").alias("component")), "label")
-    discard(entries, apart, divided, pairs, blocks, more, full)
+    discard(entries, apart, *(x for x in (blocks, more, full) if x is not None))
 
     class_of = _labelled(classes, label).select(*by, F.col("comp").alias("component_id"))
     out = rows.select("doc_id", *by).join(class_of, by, "left")
@@ -407,34 +433,12 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.withColumn("__row", F.when(F.col("__id").isNotNull(), F.monotonically_increasing_id())).drop(*order), "rows")
 
 
-def _divided(entries: DataFrame) -> DataFrame:
-    """Members of long lists by list and a second one that comes later in their order. Only those of several components are kept.
-
-    Of the shingles that the members of a link share, the first two in order are
-    in the lists on both sides, so the first's list, divided by the second, has
-    both members.
-    """
-    later = entries.select("id", F.col("token").alias("second"), F.col("pos").alias("at"))
-    found = entries.where(F.col("len") > LONG).select("token", "pos", "id", "n", "comp").join(later, "id").where("at > pos")
-    found = found.select(F.xxhash64("token", "second").alias("token"), "id", "n", "comp")
-    lists = found.groupBy("token").agg(F.count("*").alias("len"), F.min("id").alias("first"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    lists = written(lists.where("c0 < c1").select("token", "len", "first"), "lists")
-    return found.join(_small(lists), "token")
-
-
-def _short_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs within short lists whose sizes allow a link."""
-    listed = entries.groupBy("token").agg(F.collect_list(F.struct("id", "n", "comp")).alias("x"))
-    pairs = listed.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q"))
-    pairs = pairs.where(f"p.id < q.id AND p.comp <> q.comp AND {rule.den} * least(p.n, q.n) >= {rule.num} * greatest(p.n, q.n)")
-    return pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-
-
-def _blocks(entries: DataFrame, group: DataFrame) -> DataFrame:
-    """id, n, comp, component and block; each component of group has its sets dealt to blocks of about BLOCK shingles."""
-    members = entries.select("id", "n", "comp").distinct().join(group, "id")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    return members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+def _blocks(members: DataFrame, group: DataFrame) -> DataFrame:
+    """id, n, comp, component, blocks and block: each component of group has its sets dealt to blocks of about BLOCK shingles at most."""
+    members = members.join(group, "id")
+    size = F.sum("n")
+    count = F.greatest(F.ceil(size / BLOCK), F.least(F.lit(4), F.ceil(size / SPREAD)))
+    return members.join(members.groupBy("component").agg(count.cast("int").alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def _block_links(members: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:

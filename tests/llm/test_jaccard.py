@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lathe.llm import graph, jaccard
@@ -61,12 +62,47 @@ def test_copies(spark, rule, monkeypatch):
         rows += [(i + 1000 * length, t) for i, t in copies(rng, 3, length, edits)]
     rows += [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (6, "one two"), (None, "one two"), (7, "big " * 20000), (8, "a b c d")]
     want = check(spark, rows, rule)
-    monkeypatch.setattr(jaccard, "LONG", 1)
     monkeypatch.setattr(jaccard, "BLOCK", 300)
+    monkeypatch.setattr(jaccard, "SPREAD", 50)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     assert check(spark, rows, rule) == want
 
 
+def test_sets_that_are_alike(spark, monkeypatch):
+    """Lists whose members are not linked with their smallest, but some with each other: blocks find these links."""
+    rng, rows = random.Random(11), []
+    for g in range(3):
+        base = [f"w{g}_{k}" for k in range(70)]
+        for i in range(45):
+            words = list(base)
+            for _ in range(rng.choice((1, 4, 6, 9))):
+                words[rng.randrange(70)] = f"e{rng.randint(0, 10**6)}"
+            rows.append((1000 * g + i, " ".join(words)))
+    used = []
+    links = jaccard._block_links
+    monkeypatch.setattr(jaccard, "_block_links", lambda *a: used.append(links(*a)) or used[-1])
+    want = check(spark, rows, Rule(3, 80, 100))
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    monkeypatch.setattr(jaccard, "SPREAD", 100)
+    assert check(spark, rows, Rule(3, 80, 100)) == want and len(used) == 2
+    assert len({c for *_, c in want}) > 3
+
+
+def test_entries_meet():
+    """Linked sets have an entry in common, whatever is known as frequent."""
+    rng = np.random.default_rng(3)
+    for rule in (Rule(3, 90, 100), Rule(5, 80, 100), Rule(1, 50, 100)):
+        for _ in range(300):
+            n = int(rng.integers(1, 120))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.97], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+            same = len(np.intersect1d(a, b))
+            if len(b) and rule.den * same >= rule.num * (len(a) + len(b) - same):
+                known = np.intersect1d(a, b)[:: int(rng.integers(1, 4))]
+                x, y = (jaccard._entries(s, np.isin(s, known), rule) for s in (a, b))
+                assert np.intersect1d(x, y).size and len(x) == rule.entries(len(a))
+
+
 def test_one_of_each(spark):
     """Decided by row: of each component of rows one of the smallest id stays, and all rows without shingles or id."""
     rng, rule = random.Random(4), Rule(5, 80, 100)
