@@ -1,27 +1,33 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark.
-
-A text's tokens are its words, then one end; the first follows a begin mark.
-
-- Word counts are summed by hash ranges. The words' hashes, sorted, are the
-  vocabulary; a word's id is its place there. Its ranges stay apart in files.
-- Word pairs are keys id(u) << 32 | id(v). Keys are dealt to shards by ranges of
-  the place (F(u) + p(u) F(v)) of a pair in the order of keys, where p and F are
-  a word's share of the tokens and the sum of the shares before it; so shards
-  have about equally many tokens, and a frequent u is dealt to many.
-- A shard's keys, sorted, and their counts are arrays in files of the shared
-  folder, as are the vocabulary's hashes, counts, numbers of distinct words
-  before a word, and back-off weights. Workers map these files into memory and
-  score texts by binary search; only the ranges' bounds and the discounts go
+"""An interpolated modified Kneser-Ney n-gram model, counted in Spark.
+
+A text's tokens are its words, then one end; a begin mark stands before the first.
+A gram of n tokens has a 64-bit key: of one token the word's hash, of more a hash
+of the keys of the two grams of n - 1 tokens that make it up, its context and its
+suffix. Keys are dealt to shards by ranges, evenly, so neither a frequent word nor
+a frequent context fills a shard, and no table of bounds is needed.
+
+- For each order, from the highest down, a chunk's distinct grams go to the shards
+  of their keys, with context, suffix and count. A shard's sorted keys and counts
+  are arrays in files of the shared folder. Below the highest order a gram counts
+  as often as different tokens stand before it; if it begins with the begin mark,
+  as often as it occurs.
+- Each shard gives on, by key, one for each suffix (the counts of the next order),
+  and the sums of each context, from which back-off weights are made.
+- Workers map the files into memory and score texts by binary search of sorted
+  keys, in the shards that these keys are in; only the discounts and a few sums go
   with the tasks.
 
-A file gets its final name when it is complete, and a task that runs again writes
-the same bytes; so lost executors leave no half-written file behind.
-
-Discounts follow Chen and Goodman from the counts of counts; where these make no
-sense (tiny inputs), 0.5 is taken. Null text is an empty text: its end is its
-only token. A null id counts as the text ''. Words not in the training part have
-the probability that the uniform distribution over V + 1 words is given.
-Without training rows every token is unknown. Extra columns are not read.
+Shards grow in number with the bytes of the training part, so what a task holds
+does not. A file gets its final name when it is complete, and a task that runs
+again writes the same bytes; so lost executors leave no half-written file behind.
+
+Discounts follow Chen and Goodman from the counts of counts of each order; where
+these make no sense (tiny inputs), 0.5 is taken. Null text is an empty text: its
+end is its only token. Very long texts are read whole. A null id counts as the
+text ''; rows with equal ids are trained on and scored each. Words not in the
+training part have the probability that the uniform distribution over V + 1 words
+is given. Without training rows every token is unknown, at probability 1 (score
+0). Empty table: no rows. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,11 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import discard, new_path, posix, written
-from .words import hashed_words
+from .words import hashed_words, mix
 
-END = np.uint64(0x1F0E4D2C3B5A6978)
-#: Shards grow in number with the training part: a shard's pairs have about so many tokens, a range of words a 64th of its bytes at most.
-TOKENS_A_SHARD, WORD_SHARDS = 4_000_000, 64
+END, BEGIN = np.uint64(0x1F0E4D2C3B5A6978), np.uint64(0x6A09E667F3BCC908)
+#: Training text for each shard of an order. Tokens of one chunk when counting, and when scoring.
+BYTES_A_SHARD, COUNTED, SCORED = 24_000_000, 4_000_000, 1_500_000
+STATS, CONTEXT, SUFFIX, TEXT = range(4)
+#: Grams of texts (a: contexts, or words; b: suffixes; first: whether they begin with the begin mark) and sums by key (a: keys, counts: a row for each number).
+BLOBS = "kind int, shard int, a binary, b binary, counts binary, first binary, stats array<long>"
+_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+_NAMES = [c.split()[0] for c in BLOBS.split(", ")]
 
 
 def held_out(doc_id) -> Any:
@@ -59,129 +70,147 @@ def _load(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, hashes of the rows' tokens with their ends, where each row begins, with the end)."""
-    for row, words, at in hashed_words(column):
-        n = len(at) - 1
-        starts = at + np.arange(n + 1)
-        out = np.empty(len(words) + n, np.uint64)
-        ends = np.zeros(len(out), bool)
-        ends[starts[1:] - 1] = True
-        out[ends], out[~ends] = END, words
-        yield row, out, starts
+def _fit(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+def _packed(x: np.ndarray) -> bytes:
+    """Counts as the width of their type, then their bytes."""
+    x = _fit(x)
+    return bytes([x.itemsize]) + x.tobytes()
 
 
-def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows shard, keys, counts of sorted shards."""
-    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-    ends = [*cuts[1:], len(shard)]
-    rows = [(int(shard[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts, ends, strict=True)]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "counts"])
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    raw = data.as_buffer()
+    return np.frombuffer(raw, f"<u{np.frombuffer(raw, np.uint8, 1)[0]}", offset=1).astype(np.int64)
 
 
-_BLOB = "shard int, keys binary, counts binary"
+def _gram(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(context * np.uint64(0x9FB21C651E98DF25) + mix(suffix + np.uint64(0x2545F4914F6CDD1D)))
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-    return _summed(keys, counts)
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))).tolist() if len(x) else []
+    return list(zip(cuts, [*cuts[1:], len(x)], strict=True))
+
+
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys, where each stood first, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0))) if len(keys) else np.zeros(0, np.int64)
+    return keys[order][first], order[first], *(np.add.reduceat(c[order], first) if len(keys) else c for c in counts)
+
+
+def _sequences(column: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens with the begin mark before and the end after each text, how far each is from its text's begin mark) for runs of rows."""
+    held, size = [], 0
+    for _, words, at in hashed_words(column):
+        n = len(at) - 1
+        starts = at + 2 * np.arange(n + 1)
+        out = np.empty(len(words) + 2 * n, np.uint64)
+        inside = np.ones(len(out), bool)
+        inside[starts[:-1]] = inside[starts[1:] - 1] = False
+        out[starts[:-1]], out[starts[1:] - 1], out[inside] = BEGIN, END, words
+        held.append((out, np.arange(len(out)) - np.repeat(starts[:-1], np.diff(starts))))
+        size += len(out)
+        if size >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _sequences, over all batches of a task."""
     held, size = [], 0
     for batch in batches:
-        for _, t, at in _tokens(batch.column(0)):
-            held.append((t, at))
-            size += len(t)
-            if size >= most:
-                yield held
+        for chunk in _sequences(batch.column(0), COUNTED):
+            held.append(chunk)
+            size += len(chunk[0])
+            if size >= COUNTED:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held, size = [], 0
     if held:
-        yield held
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-class Model:
-    """Where a model's files are, and the few numbers that go with them."""
+def _grams(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n tokens that end at each place; those that reach over a text's begin mean nothing."""
+    keys = tokens
+    for _ in range(n - 1):
+        longer = keys.copy()
+        longer[1:] = _gram(keys[:-1], keys[1:])
+        keys = longer
+    return keys
 
-    def __init__(self, folder: str, first: list[int], tokens: int):
-        #: first: the id at which each range of words begins; the last is the vocabulary's size and the begin mark's id.
-        self.folder, self.first, self.tokens = folder, first, tokens
-        self.bounds: list[int] = []
-        self.texts, self.pairs_left, self.begin_weight, self.low_weight = 0, 0, 1.0, 1.0
-        self.high, self.low = np.zeros(4), np.zeros(4)
-        self.uniform = 1.0 / (first[-1] + 1)
-
-    def _at_words(self, ids: np.ndarray, name: str, missing: float) -> np.ndarray:
-        """An array's values at ids (any order), missing for -1 and the begin mark."""
-        out = np.full(len(ids), missing)
-        for n in range(WORD_SHARDS):
-            hit = (ids >= self.first[n]) & (ids < self.first[n + 1])
-            if hit.any():
-                out[hit] = _load(f"{self.folder}/{name}-{n}.npy")[ids[hit] - self.first[n]]
-        return out
 
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        """Ids of sorted hashes, -1 for words that are not known."""
-        out = np.full(len(tokens), -1, np.int64)
-        cuts = np.searchsorted(tokens, np.arange(WORD_SHARDS, dtype=np.uint64) << np.uint64(58))
-        for n, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(tokens)], strict=True)):
-            if a < b and self.first[n] < self.first[n + 1]:
-                at = _find(_load(f"{self.folder}/words-{n}.npy"), tokens[a:b])
-                out[a:b] = np.where(at >= 0, at + self.first[n], -1)
-        return out
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES)
+
+
+class Model:
+    """Where a model's files are, and the few numbers that go with them."""
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys, 0 for pairs that are not known."""
-        out = np.zeros(len(keys), np.int64)
-        if not self.bounds:
+    def __init__(self, folder: str, shards: int, order: int):
+        self.folder, self.shards, self.order = folder, shards, order
+        self.tokens = self.words = 0
+        #: By order: discounts of counts 0, 1, 2, and 3 or more.
+        self.discounts = {n: np.zeros(4) for n in range(1, order + 1)}
+        #: Of the lowest order: the sum of counts, and what of it the uniform distribution is given.
+        self.total, self.uniform = 1, 1.0
+
+    def path(self, name: str, n: int, shard: int) -> str:
+        return f"{self.folder}/{name}-{n}-{shard}.npy"
+
+    def values(self, n: int, keys: np.ndarray, of: str, names: tuple[str, ...]) -> list[np.ndarray]:
+        """Arrays' values at sorted keys, 0 for those that are not in the files of."""
+        out = [np.zeros(len(keys)) for _ in names]
+        if not self.tokens:
             return out
-        cuts = np.searchsorted(keys, np.array(self.bounds, np.uint64))
-        for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
-            if a < b and self.bounds[k + 1 : k + 2] != [self.bounds[k]]:
-                at = _find(_load(f"{self.folder}/pairs-{k}.npy"), keys[a:b])
-                out[a:b] = np.where(at >= 0, _load(f"{self.folder}/found-{k}.npy")[np.maximum(at, 0)], 0)
+        shard = _shard(keys, self.shards)
+        for a, b in _runs(shard):
+            k = int(shard[a])
+            known = _load(self.path(of, n, k))
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
+                hit = known[at] == keys[a:b]
+                for x, name in zip(out, names, strict=True):
+                    x[a:b][hit] = _load(self.path(name, n, k))[at[hit]]
         return out
 
-    def scores(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts whose tokens begin at at: known tokens, base score, log10 probability."""
-        distinct, inverse = np.unique(tokens, return_inverse=True)
-        word = self.ids(distinct)
-        size, begin = self.first[-1], self.first[-1]
-        count = self._at_words(word, "counts", 0)
-        base = np.log10((count + 0.1) / (self.tokens + 0.1 * (size + 1)))
-        met = self._at_words(word, "met", 0)
-        lower = (met - self.low[np.minimum(met, 3).astype(int)]) / max(1, self.pairs_left) + self.low_weight * self.uniform
-        weight = self._at_words(word, "backoff", 1.0)
-        ids = word[inverse]
-        starts = at[:-1]
-        before, total, back = (np.empty(len(ids), t) for t in (np.int64, float, float))
-        for x, of_word, of_begin in ((before, word, begin), (total, count, self.texts), (back, weight, self.begin_weight)):
-            x[1:] = of_word[inverse[:-1]]
-            x[starts] = of_begin
-        both = (ids >= 0) & (before >= 0)
-        keys, place = np.unique((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-        found = self.pair_counts(keys)
-        high = np.zeros(len(ids))
-        high[both] = (found - self.high[np.minimum(found, 3)])[place] / total[both]
-        score = np.log10(high + back * lower[inverse])
-        return tuple(np.add.reduceat(x, starts) for x in ((ids >= 0).astype(np.int64), base[inverse], score))
-
-
-def _find(array: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted array, -1 for others."""
-    if not len(array):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(array, keys), len(array) - 1)
-    return np.where(array[at] == keys, at, -1)
+    def scores(self, tokens: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each text: tokens, known tokens, base score, log10 probability."""
+        said = np.flatnonzero(place > 0)
+        keys, inverse = np.unique(tokens[said], return_inverse=True)
+        raw, count = self.values(1, keys, "keys", ("raw", "counts"))
+        base = np.log10((raw + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
+        low = (count - self.discounts[1][np.minimum(count, 3).astype(int)]) / self.total + self.uniform / (self.words + 1)
+        p, grams = low[inverse], tokens
+        for n in range(2, self.order + 1):
+            here = np.flatnonzero(place[said] >= n - 1)
+            at = said[here]
+            contexts, of_context = np.unique(grams[at - 1], return_inverse=True)
+            total, weight = self.values(n, contexts, "contexts", ("totals", "weights"))
+            longer = grams.copy()
+            longer[1:] = _gram(grams[:-1], grams[1:])
+            grams = longer
+            known = total[of_context] > 0
+            here, of_context = here[known], of_context[known]
+            keys, of_key = np.unique(grams[at[known]], return_inverse=True)
+            (count,) = self.values(n, keys, "keys", ("counts",))
+            high = (count - self.discounts[n][np.minimum(count, 3).astype(int)])[of_key] / total[of_context]
+            p[here] = high + weight[of_context] * p[here]
+        starts = np.flatnonzero(place[said] == 1)
+        one = np.ones(len(said), np.int64)
+        return tuple(np.add.reduceat(x, starts) for x in (one, (raw > 0).astype(np.int64)[inverse], base[inverse], np.log10(p)))
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -194,125 +223,110 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return d if (d[1:] > 0).all() and (d[1:] <= [1, 2, 3]).all() else half
 
 
-def _fit(x: np.ndarray) -> np.ndarray:
-    """Counts in the smallest type that holds them."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+def _of_texts(model: Model, n: int):
+    """The distinct grams of n tokens of each chunk, by shards of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, place in _chunks(batches):
+            at = np.flatnonzero(place >= max(1, n - 1))
+            shorter = _grams(tokens, max(1, n - 1))
+            grams = shorter[at] if n == 1 else _gram(shorter[at - 1], shorter[at])
+            keys, index, counts = np.unique(grams, return_index=True, return_counts=True)
+            at = at[index]
+            shard = _shard(keys, model.shards)
+            for a, b in _runs(shard):
+                some = at[a:b]
+                parts = (keys[a:b].tobytes(), b"", b"") if n == 1 else (shorter[some - 1].tobytes(), shorter[some].tobytes(), (place[some] == n - 1).tobytes())
+                yield from _table([(TEXT, int(shard[a]), *parts[:2], _packed(counts[a:b]), parts[2], None)]).to_batches()
+
+    return run
+
 
+def _sums(model: Model, n: int):
+    """A shard's grams go to files; what contexts and suffixes get from them goes on, by shards of their keys."""
+
+    def run(key, table):
+        k = int(key[0].as_py())
+        kind = np.asarray(table.column("kind"))
+        column = {c: table.column(c).combine_chunks() for c in ("a", "b", "counts", "first")}
+        joined = lambda c, of, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(column[c][int(i)].as_buffer(), t) for i in np.flatnonzero(kind == of))])
+        counted = lambda of: np.concatenate([np.zeros(0, np.int64), *(_unpacked(column["counts"][int(i)]) for i in np.flatnonzero(kind == of))])
+        a, b, raw = joined("a", TEXT, np.uint64), joined("b", TEXT, np.uint64), counted(TEXT)
+        keys, index, raw = _summed(a if n == 1 else _gram(a, b), raw)
+        counts = raw
+        if n < model.order:
+            known, _, before = _summed(joined("a", SUFFIX, np.uint64), counted(SUFFIX))
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, known)] = before
+            if n > 1:
+                first = joined("first", TEXT, bool)[index]
+                counts[first] = raw[first]
+        _save(model.path("keys", n, k), keys)
+        _save(model.path("counts", n, k), _fit(counts))
+        many = [int((counts == i).sum()) for i in range(1, 5)] + [int((counts > 2).sum()), int(counts.sum()), int(raw.sum()), len(keys)]
+        rows = [(STATS, k, b"", b"", b"", b"", many)]
+        if n == 1:
+            _save(model.path("raw", 1, k), _fit(raw))
+        else:
+            contexts, _, *sums = _summed(a[index], counts, *((counts == i).astype(np.int64) for i in (1, 2)), (counts > 2).astype(np.int64))
+            suffixes, _, ones = _summed(b[index], np.ones(len(index), np.int64))
+            for of, x, values in ((CONTEXT, contexts, sums), (SUFFIX, suffixes, [ones])):
+                shard = _shard(x, model.shards)
+                rows += [(of, int(shard[i]), x[i:j].tobytes(), b"", _packed(np.concatenate([v[i:j] for v in values])), b"", None) for i, j in _runs(shard)]
+        return _table(rows)
+
+    return run
+
+
+def _weights(model: Model, n: int):
+    """The contexts of grams of n tokens: their totals, and the weights with which they back off."""
+
+    def run(key, table):
+        k = int(key[0].as_py())
+        column = {c: table.column(c).combine_chunks() for c in ("a", "counts")}
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in column["a"]])
+        parts = [_unpacked(x).reshape(4, -1) for x in column["counts"] if len(x.as_buffer()) > 1]
+        sums = np.concatenate(parts, 1) if parts else np.zeros((4, 0), np.int64)
+        keys, _, total, *met = _summed(keys, *sums)
+        _save(model.path("contexts", n, k), keys)
+        _save(model.path("totals", n, k), _fit(total))
+        _save(model.path("weights", n, k), model.discounts[n][1:] @ np.array(met).reshape(3, -1) / np.maximum(total, 1))
+        return pa.table({"shard": pa.array([k], pa.int32())})
 
-def train(texts: DataFrame) -> Model:
-    """A model of the rows of texts, whose only column is the text."""
+    return run
+
+
+def train(texts: DataFrame, order: int = 2) -> Model:
+    """A model of the rows of texts, whose only column is the text, of grams of up to order tokens (two at least)."""
     spark = texts.sparkSession
     uri = new_path(spark, "lm")
-    folder = posix(uri)
     at = spark._jvm.org.apache.hadoop.fs.Path(uri)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-
-    def sort_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _chunks(batches, TOKENS_A_SHARD):
-            keys, counts = np.unique(np.concatenate([t for t, _ in held]), return_counts=True)
-            yield from _blobs(keys >> np.uint64(58), keys, counts)
-
-    def sum_words(key, table):
-        n = int(key[0].as_py())
-        words, counts = _gathered(table)
-        _save(f"{folder}/words-{n}.npy", words)
-        _save(f"{folder}/counts-{n}.npy", _fit(counts))
-        return pa.table({"shard": pa.array([n], pa.int32()), "words": pa.array([len(words)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
-
-    parts = {r["shard"]: r for r in texts.mapInArrow(sort_words, _BLOB).groupBy("shard").applyInArrow(sum_words, "shard int, words long, tokens long").collect()}
-    words, tokens = ([parts[n][c] if n in parts else 0 for n in range(WORD_SHARDS)] for c in ("words", "tokens"))
-    model = Model(folder, np.cumsum([0, *words]).tolist(), sum(tokens))
-    if not model.tokens:
+    n_rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()
+    model = Model(posix(uri), max(1, -(-size // BYTES_A_SHARD)), order)
+    if not n_rows:
         return model
-    shards, begin, first = max(1, -(-model.tokens // TOKENS_A_SHARD)), model.first[-1], model.first
-    tokens_before = np.cumsum([0, *tokens]).tolist()
-    end_count = int(model._at_words(model.ids(np.array([END], np.uint64)), "counts", 0)[0])
-    model.texts = end_count
-
-    def sort_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, before = np.empty(begin + 1), np.empty(begin + 1)
-        for n in parts:
-            counts = np.asarray(_load(f"{folder}/counts-{n}.npy")).astype(np.float64)
-            share[first[n] : first[n + 1]] = counts
-            before[first[n] : first[n + 1]] = np.cumsum(counts) - counts + tokens_before[n]
-        share[begin], before[begin] = end_count, model.tokens  # the begin mark comes last, as often as there are texts
-        both = model.tokens + end_count
-        share, before = share / both, before / both
-        for held in _chunks(batches, TOKENS_A_SHARD):
-            tokens = np.concatenate([t for t, _ in held])
-            distinct, inverse = np.unique(tokens, return_inverse=True)
-            ids = model.ids(distinct)[inverse]
-            left = np.empty_like(ids)
-            left[1:] = ids[:-1]
-            at = np.cumsum([0, *(len(t) for t, _ in held)])
-            left[np.concatenate([a[:-1] + x for (_, a), x in zip(held, at[:-1], strict=True)])] = begin
-            keys, counts = np.unique(left.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), return_counts=True)
-            u, v = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            yield from _blobs(np.minimum((shards * (before[u] + share[u] * before[v])).astype(np.int64), shards - 1), keys, counts)
-
-    ends = np.array(first[1:-1], np.int64)
-
-    def sum_pairs(key, table):
-        """A shard's pairs go to files. For each range of words: pairs that end in a word (met), pairs of count 1, 2 and more that begin with it."""
-        k = int(key[0].as_py())
-        keys, counts = _gathered(table)
-        _save(f"{folder}/pairs-{k}.npy", keys)
-        _save(f"{folder}/found-{k}.npy", _fit(counts))
-        rows = []
-        v, met = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
-        u, at = np.unique(keys >> np.uint64(32), return_index=True)
-        sums = [np.add.reduceat((x).astype(np.uint32), at) for x in (counts == 1, counts == 2, counts > 2)]
-        for name, ids, values in (("met", v, [met]), ("begun", u, sums)):
-            cuts = [0, *np.searchsorted(ids, ends.astype(np.uint64)), len(ids)]
-            for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    rows.append((k, n, name, ids[a:b].astype(np.uint32).tobytes(), np.stack([x[a:b].astype(np.uint32) for x in values]).tobytes()))
-        ones = [int((counts == i).sum()) for i in range(1, 5)]
-        cols = [*zip(*rows, strict=True)]
-        types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
-        names = ("shard", "words", "kind", "ids", "sums")
-        out = {c: pa.array(x, t) for c, x, t in zip(names, cols, types, strict=True)}
-        out |= {f"n{i + 1}": pa.array([n, *[0] * (len(rows) - 1)], pa.int64()) for i, n in enumerate(ones)}
-        out["low"] = pa.array([str(int(keys[0])), *[None] * (len(rows) - 1)], pa.string())
-        return pa.table(out)
-
-    sums = written(texts.mapInArrow(sort_pairs, _BLOB).groupBy("shard").applyInArrow(sum_pairs, "shard int, words int, kind string, ids binary, sums binary, n1 long, n2 long, n3 long, n4 long, low string"), "pairs")
-    model.high = high = _discounts(*sums.agg(*(F.sum(f"n{i}") for i in range(1, 5))).first())
-    low = {r["shard"]: int(r["low"]) for r in sums.where("low IS NOT NULL").select("shard", "low").collect()}
-    nearest = 1 << 63
-    for k in reversed(range(shards)):
-        nearest = low.get(k, nearest)
-        model.bounds.insert(0, nearest)
-
-    def sum_ranges(key, table):
-        n = int(key[0].as_py())
-        size = first[n + 1] - first[n] + (n == WORD_SHARDS - 1)  # the begin mark is in the last range
-        met, begun = np.zeros(size, np.int64), np.zeros((3, size), np.int64)
-        for kind, ids, values in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("sums"), strict=True):
-            ids = np.frombuffer(ids.as_buffer(), np.uint32).astype(np.int64) - first[n]
-            values = np.frombuffer(values.as_buffer(), np.uint32).reshape(-1, len(ids))
-            if kind == "met":
-                met[ids] += values[0]
-            else:
-                begun[:, ids] += values
-        count = np.ones(size)
-        if first[n] < first[n + 1]:
-            count[: first[n + 1] - first[n]] = _load(f"{folder}/counts-{n}.npy")
-        if n == WORD_SHARDS - 1:
-            count[-1] = end_count
-        weight = np.where(begun.sum(0) > 0, (high[1:] @ begun) / count, 1.0)
-        _save(f"{folder}/met-{n}.npy", _fit(met))
-        _save(f"{folder}/backoff-{n}.npy", weight)
-        return pa.table({"range": pa.array([n], pa.int32()), "pairs": pa.array([int(met.sum())], pa.int64()), "begin": pa.array([float(weight[-1])], pa.float64())} | {f"m{i}": pa.array([int((met == i).sum() if i < 5 else (met > 2).sum())], pa.int64()) for i in range(1, 6)})
-
-    every = sums.select("words", "kind", "ids", "sums")
-    ranges = every.groupBy("words").applyInArrow(sum_ranges, "range int, pairs long, begin double, m1 long, m2 long, m3 long, m4 long, m5 long").collect()
-    m = [sum(r[f"m{i}"] for r in ranges) for i in range(1, 6)]
-    model.low = _discounts(*m[:4])
-    model.pairs_left = sum(r["pairs"] for r in ranges)
-    model.low_weight = float(model.low[1] * m[0] + model.low[2] * m[1] + model.low[3] * m[4]) / model.pairs_left
-    model.begin_weight = next(r["begin"] for r in ranges if r["range"] == WORD_SHARDS - 1)
-    discard(sums)
+    # Each shard has its files, also where nothing falls into it.
+    none = F.lit(b"")
+    shards = lambda of: spark.range(model.shards).select(F.lit(of).alias("kind"), F.col("id").cast("int").alias("shard"), none.alias("a"), none.alias("b"), F.lit(b"\x01").alias("counts"), none.alias("first"), F.lit(None).cast("array<long>").alias("stats"))
+    above = None
+    for n in range(order, 0, -1):
+        blobs = texts.mapInArrow(_of_texts(model, n), BLOBS).unionAll(shards(TEXT))
+        if above is not None:
+            blobs = blobs.unionAll(above.where(F.col("kind") == SUFFIX))
+        sums = written(blobs.groupBy("shard").applyInArrow(_sums(model, n), BLOBS), "sums")
+        if above is not None:
+            discard(above)
+        above = sums
+        stats = sums.where(F.col("kind") == STATS).select(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(8))).first()
+        model.discounts[n] = _discounts(*stats[:4])
+        if n > 1:
+            contexts = sums.where(F.col("kind") == CONTEXT).unionAll(shards(CONTEXT))
+            contexts.groupBy("shard").applyInArrow(_weights(model, n), "shard int").agg(F.count("*")).collect()
+        else:
+            n1, n2, _, _, n3, model.total, model.tokens, model.words = stats
+            model.uniform = float(model.discounts[1][1:] @ [n1, n2, n3]) / model.total
+    discard(above)
     return model
 
 
@@ -321,9 +335,7 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for _, tokens, at in _grouped(batch.column(2)):
-                done.append((np.diff(at), *model.scores(tokens, at)))
+            done = [model.scores(*chunk) for chunk in _sequences(batch.column(2), SCORED)]
             if not done:
                 continue
             n, known, base, score = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -334,27 +346,6 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     return kept.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def _grouped(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """As _tokens, in longer runs: the longer, the nearer are a run's sorted searches to each other."""
-    held, size = [], 0
-    for row, t, at in _tokens(column):
-        held.append((row, t, at))
-        size += len(t)
-        if size > 1_500_000:
-            yield _merged(held)
-            held, size = [], 0
-    if held:
-        yield _merged(held)
-
-
-def _merged(held: list) -> tuple[int, np.ndarray, np.ndarray]:
-    at, base = [np.zeros(1, np.int64)], 0
-    for _, t, a in held:
-        at.append(a[1:] + base)
-        base += len(t)
-    return held[0][0], np.concatenate([t for _, t, _ in held]), np.concatenate(at)
-
-
-def language_model_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, *, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all rows under a model of those that are not held out."""
-    return scored(docs, train(docs.where(~held_out(F.col(id_col))).select(text_col)), id_col=id_col, text_col=text_col)
+    return scored(docs, train(docs.where(~held_out(F.col(id_col))).select(text_col), order), id_col=id_col, text_col=text_col)

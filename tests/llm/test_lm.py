@@ -11,12 +11,13 @@ from lathe.llm import lm
 SCHEMA = "doc_id long, text string, extra string, score double"
 
 
-def plain(rows):
+def plain(rows, order):
     split = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if w] + ["</s>"]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [split(t) for i, t in rows if not held(i)]
-    count, pair = Counter(w for x in train for w in x), Counter(p for x in train for p in zip(["<s>", *x], x))
-    n, v = sum(count.values()), len(count)
+    words = Counter(w for x in train for w in x)
+    n, v = sum(words.values()), len(words)
+    raw = {k: Counter(tuple(x[i : i + k]) for x in (["<s>", *t] for t in train) for i in range(k == 1, len(x) - k + 1)) for k in range(1, order + 1)}
 
     def discounts(values):
         c = Counter(values)
@@ -28,33 +29,37 @@ def plain(rows):
         d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
         return d if all(0 < d[i] <= i for i in (1, 2, 3)) else half
 
-    high, met, after, total = discounts(pair.values()), Counter(b for _, b in pair), defaultdict(list), Counter()
-    low = discounts(met.values())
-    for (a, _), c in pair.items():
-        after[a].append(c)
-        total[a] += c
-
-    def p1(w):
-        g = sum(low[min(c, 3)] for c in met.values()) / len(pair)
-        return max(0, met[w] - low[min(met[w], 3)]) / len(pair) + g / (v + 1)
-
-    def p(w, u):
-        if u not in after:
-            return p1(w)
-        c = pair[u, w]
-        return max(0, c - high[min(c, 3)]) / total[u] + sum(high[min(x, 3)] for x in after[u]) / total[u] * p1(w)
+    count = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in raw[k + 1])
+        count[k] = {g: c if g[0] == "<s>" else before[g] for g, c in raw[k].items()}
+    off = {k: discounts(c.values()) for k, c in count.items()}
+    total, given = defaultdict(int), defaultdict(float)
+    for k, c in count.items():
+        for g, x in c.items():
+            total[k, g[:-1]] += x
+            given[k, g[:-1]] += off[k][min(x, 3)]
+
+    def p(w, h):
+        k = len(h) + 1
+        lower = p(w, h[1:]) if h else 1 / (v + 1)
+        if not total[k, h]:
+            return lower
+        c = count[k].get((*h, w), 0)
+        return max(0, c - off[k][min(c, 3)]) / total[k, h] + given[k, h] / total[k, h] * lower
 
     out = []
     for i, t in rows:
         x = split(t)
-        out.append((i, held(i), len(x), sum(w in count for w in x), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p(w, u)) if train else math.log10(1) for w, u in zip(x, ["<s>", *x]))))
-    sums = [sum(p(w, u) for w in [*count, "???"]) for u in [*list(after)[:20], "never"]] if train else [1]
-    return out, sums
+        padded = ["<s>", *x]
+        out.append((i, held(i), len(x), sum(w in words for w in x), n, sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in x), sum(math.log10(p(w, tuple(padded[max(0, j + 2 - order) : j + 1]))) for j, w in enumerate(x))))
+    some = [("<s>",), ("never",), *[h for k, h in list(total)[:200] if k == order]]
+    return out, [sum(p(w, h) for w in [*words, "???"]) for h in some]
 
 
-def check(spark, rows):
-    got = lm.language_model_scores(spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], SCHEMA)).collect()
-    want, sums = plain(rows)
+def check(spark, rows, order=2):
+    got = lm.language_model_scores(spark.createDataFrame([(i, t, "x", 1.0) for i, t in rows], SCHEMA), order=order).collect()
+    want, sums = plain(rows, order)
     assert all(abs(s - 1) < 1e-9 for s in sums)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
     assert len(got) == len(want)
@@ -69,8 +74,12 @@ def test_matches_plain_model(spark, monkeypatch):
     rows = [(i, "\t ".join(rng.choices(words, range(1, 11), k=rng.randint(0, 40)))) for i in range(120)]
     rows += [(200, None), (201, ""), (202, " \n\x0b "), (None, "the of"), (3, "the of the"), (3, "the of the"), (203, "never seen words of"), (204, "long " * 30000)]
     check(spark, rows)
-    monkeypatch.setattr(lm, "TOKENS_A_SHARD", 50)
+    monkeypatch.setattr(lm, "BYTES_A_SHARD", 20_000)
+    monkeypatch.setattr(lm, "COUNTED", 60)
+    monkeypatch.setattr(lm, "SCORED", 50)
     check(spark, rows)
+    check(spark, rows, 3)
+    check(spark, rows, 4)
 
 
 def test_without_rows(spark):
