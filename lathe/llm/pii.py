@@ -16,13 +16,18 @@ further kinds: obfuscated addresses, national phone numbers, social security
 numbers, bank accounts and names.
 
 Null text is an empty text. Rows with equal ids are searched each. Very long
-texts are searched whole; all patterns are linear in the text. Empty table: no
-rows. Extra columns are not read. Positions are code points, ends exclusive.
+texts are searched whole, in time that grows with their length (and the logarithm
+of their spans). Of overlapping candidates base spans come first, then the earlier
+kind of KINDS, then the one that begins first. Votes that tie leave a probability
+of THRESHOLD or not; at THRESHOLD a span is kept. Empty table: no rows. Extra
+columns are not read, whatever their names. Positions are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,6 @@ LABELERS = ("check", "gazetteer", "cue", "counter_cue", "edges")
 THRESHOLD, WINDOW, ROUNDS = 0.5, 48, 40
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -70,6 +74,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _part(digits: str) -> int:
+    """An address part's value; 999 for all of more than three digits. Zeros in front don't count, however many."""
+    digits = digits.lstrip("0")
+    return 999 if len(digits) > 3 else int(digits or 0)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(place in BASE, start, end), sorted: exact matches that pass their check."""
     out: list[tuple[int, int, int]] = []
@@ -85,7 +95,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             done = at + 1  # nothing before this sign can be in a later match
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in _IP.finditer(text) if max(map(_part, m[0].split("."))) <= 255]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -99,12 +109,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def more_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates of the further kinds."""
     out: list[tuple[int, int, int]] = []
+    done = 0  # no local part reaches into the span before it, or across the sign before it
     for m in _AT.finditer(text):
-        before = text[max(0, m.start() - 66) : m.start()].rstrip(" ")
-        local = _LOCAL.search(before)[0][-64:]
-        begin = m.start() - (m.start() and text[m.start() - 1] == " ")
-        if local and (rest := _SPELLED.match(text, begin)):
-            out.append((4, begin - len(local), rest.end()))
+        begin = m.start() - (m.start() > done and text[m.start() - 1] == " ")
+        start = begin
+        while start > done and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        done = m.start()
+        if start < begin and (rest := _SPELLED.match(text, begin)):
+            out.append((4, start, done := rest.end()))
     if _DIGIT.search(text):
         out += [(5, *m.span()) for m in _NATIONAL.finditer(text)]
         out += [(6, *m.span()) for m in _SSN.finditer(text)]
@@ -124,7 +137,7 @@ def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
         check = 1 if "." in domain and not domain.rsplit(".", 1)[1].isdigit() else -1
         gazetteer = 1 if domain in PROVIDERS else (domain.rsplit(".", 1)[-1] in SUFFIXES) * 1
     elif kind == "ip":
-        parts = [int(p) for p in span.split(".")]
+        parts = [_part(p) for p in span.split(".")]
         check = -1 if any(len(p) > 1 and p[0] == "0" for p in span.split(".")) else 1
         gazetteer = -1 if parts[0] in (0, 10, 127) or parts[0] >= 224 or parts[:2] == [192, 168] else 0
     elif kind == "card":
@@ -155,6 +168,31 @@ def shape(span: str, before: str, after: str) -> str:
     return f"{0 if n < 9 else 1 if n < 13 else 2 if n < 17 else 3 if n < 24 else 4}{side(before[-1:])}{side(after[:1])}{min(4, sum(not c.isalnum() for c in span))}"
 
 
+def apart(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans of more that overlap no base span and none that is taken before them, kind by kind.
+
+    Spans of one kind don't overlap each other. taken: spans by their places, none overlapping another.
+    """
+    taken: list[tuple[int, int]] = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):  # base spans of different kinds may overlap: joined
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    out = []
+    for kind in sorted({k for k, *_ in more}):
+        ends = [e for _, e in taken]
+        new = []
+        for k, s, e in more:
+            if k == kind:
+                i = bisect_right(ends, s)  # the first that ends after s
+                if i == len(taken) or taken[i][0] >= e:
+                    new.append((s, e))
+        out += [(kind, s, e) for s, e in new]
+        taken = sorted([*taken, *new])
+    return out
+
+
 CANDIDATES = "array<struct<kind: int, start: bigint, end: bigint, votes: string, shape: string>>"
 _CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("shape", pa.string())]))
 
@@ -166,12 +204,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         if not text:
             return []
         base = sorted(base_spans(text))
-        taken = [(s, e) for _, s, e in base]
-        rest = []
-        for k, s, e in more_spans(text):
-            if not any(s < y and x < e for x, y in taken):
-                rest.append((k, s, e))
-                taken.append((s, e))
+        rest = apart(base, more_spans(text))
         out = []
         for k, s, e in [*base, *sorted(rest)]:
             span, before, after = text[s:e], text[max(0, s - WINDOW) : s], text[e : e + WINDOW]
@@ -213,15 +246,17 @@ class SpanModel:
         self.posterior = {c[:3]: float(x) for c, x in zip(counts, p, strict=True)}
         names = sorted({f for k, v, s, _ in counts for f in self._features(k, v, s)})
         self.place = {f: i for i, f in enumerate(names)}
-        x = np.zeros((len(n), len(names)))
-        for i, (k, v, s, _) in enumerate(counts):
-            x[i, [self.place[f] for f in self._features(k, v, s)]] = 1
+        x = np.array([[self.place[f] for f in self._features(k, v, s)] for k, v, s, _ in counts], int)  # a pattern has as many features as another
         w = np.zeros(len(names))
         for _ in range(25 if len(n) else 0):  # Newton's method with a ridge
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = x.T @ (x * (n * q * (1 - q))[:, None]) + np.eye(len(names))
-            step = np.linalg.solve(h, x.T @ (n * (p - q)) - w)
-            w += step
+            q = 1 / (1 + np.exp(-np.clip(w[x].sum(1), -30, 30)))
+            g, h = -w, np.eye(len(names))
+            for i in range(x.shape[1]):
+                g = g + np.bincount(x[:, i], n * (p - q), len(names))
+                for j in range(x.shape[1]):
+                    np.add.at(h, (x[:, i], x[:, j]), n * q * (1 - q))
+            step = np.linalg.solve(h, g)
+            w = w + step
             if np.abs(step).max(initial=0) < 1e-6:
                 break
         self.weights = w

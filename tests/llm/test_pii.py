@@ -36,6 +36,37 @@ def test_base_spans():
     assert pii.base_spans("a" * 200000 + "@" + "1" * 200000 + "+1" * 50000) == []  # in linear time
 
 
+def test_long_digits_and_many_spans(spark):
+    """Zeros without end in an address, and texts with very many spans."""
+    text = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(text) == [(1, 0, len(text))] and pii.base_spans("9" * 5000 + ".1.1.1") == []
+    many = "mail me at a@b.co now or call (415) 555-1234 today " * 20000  # 1 MB
+    df = spark.createDataFrame([(1, text), (2, many)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(df).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]] == [("ip", 0, len(text))]
+    assert sum(s["kind"] == "email" for s in got[2]) == 20000
+
+
+def test_further_spans():
+    """A spelled-out address's local part is whole; candidates that overlap are decided as by trying them one by one."""
+    local = "x" * 300
+    assert pii.more_spans(f"to {local} (at) mail (dot) org") == [(4, 3, 3 + len(f"{local} (at) mail (dot) org"))]
+    assert pii.more_spans("(at) b.org") == []
+    rng = random.Random(4)
+    for _ in range(3000):
+        spans = lambda n: [(rng.randint(0, 3), a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(n))]  # noqa: B023, E731
+        base, more = spans(rng.randint(0, 4)), []
+        for k, s, e in sorted((k + 4, s, e) for k, s, e in spans(rng.randint(0, 6))):
+            if not any(k == x and s < z and y < e for x, y, z in more):
+                more.append((k, s, e))
+        taken, want = [(s, e) for _, s, e in base], []
+        for k, s, e in more:
+            if not any(s < y and x < e for x, y in taken):
+                want.append((k, s, e))
+                taken.append((s, e))
+        assert pii.apart(base, more) == want
+
+
 def test_query(spark):
     rows = [(i, f"my name is Anna Smith, mail a{i}@x.com or b{i} (at) mail (dot) org, call (415) 555-{1000 + i} phone, ssn 123-45-{2000 + i} social") for i in range(40)]
     rows += [(100 + i, f"order 555-{i:03d}-1234 version 1.2.3.4 sample 000-00-0000 \U0001f600 ip 10.0.0.{i}") for i in range(40)]
