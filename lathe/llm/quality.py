@@ -1,8 +1,10 @@
 """Quality by co-training: a classifier of the text and one of the page's metadata teach each other.
 
-Both views are discrete: statistics of the whole text by classes of their value;
-source (hashed), language and length by class. Each view's classifier is naive
-Bayes on its classes. In each round every row is read: labelled rows count for
+The text's view: its distinct words, hashed to WORDS buckets, and statistics of the
+whole text by classes of their value. The metadata's view: source (hashed),
+language and length by class. Each view's classifier is naive Bayes on its
+classes; the words count by the mean of their log odds, as WORD_WEIGHT classes
+would, so that long texts are not surer than short ones. In each round every row is read: labelled rows count for
 both views, and a row without label counts, with a lower weight, for the view
 that the other one is confident about. Confidence is the other view's calibrated
 probability (Platt's method on labelled rows that no view was trained on). At
@@ -14,9 +16,11 @@ size is fixed, whatever the input.
 
 Null and empty texts have the statistics of an empty text; null metadata is a
 class of its own. Of several labels for an id the lowest counts; rows with equal
-ids are scored each. Without labels of both kinds every row is kept, at score
-1.0. Empty table: no rows. Extra columns are kept by filtered() and not read
-otherwise.
+ids are scored each, rows without id have no label. Very long texts are read
+whole. A score that ties with the threshold keeps its row. Without labels of both
+kinds every row is kept, at score 1.0. Empty table: no rows. Extra columns,
+whatever their names, are kept by filtered() and not read otherwise; columns that
+are missing count as null.
 """
 
 from __future__ import annotations
@@ -30,9 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import discard, written
+from .words import hashed_words
 
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, FOLDS, THRESHOLD = 3, 0.97, 0.3, 5, 0.5
-SOURCES = 512
+SOURCES, WORDS, WORD_WEIGHT = 512, 4096, 10.0
+#: Labels of up to so many documents are broadcast.
+BROADCAST_LABELS = 1_000_000
 #: The share of distinct words is the mean over a text's consecutive blocks of so many words, weighted by their words: a whole text's share falls with its length.
 BLOCK = 400
 #: Upper ends of the classes of each statistic of a text.
@@ -78,22 +85,43 @@ def meta_classes(source: str | None, lang: str | None, n_chars: int | None) -> l
     return [s, g, size, (g * 31 + size) % SOURCES]
 
 
+def words_of(texts: pa.Array) -> pa.Array:
+    """The buckets of each text's distinct words, sorted, two bytes each."""
+    out: list[bytes] = []
+    for _, words, at in hashed_words(texts):
+        buckets = (words % np.uint64(WORDS)).astype(np.int64)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        both = np.unique(row * WORDS + buckets)
+        cuts = np.searchsorted(both, np.arange(len(at)) * WORDS).tolist()
+        raw = (both % WORDS).astype("<u2").tobytes()
+        out += [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.array(out, pa.binary())
+
+
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each bucket, buckets) of a column of words_of()."""
+    n = np.diff(np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)) // 2 if len(words) else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(words)), n), np.frombuffer(b"".join(words.to_pylist()), "<u2").astype(np.int64)
+
+
 class Views:
     """Log odds of the classes in both views, their calibration, and the weights of both in the end."""
 
     def __init__(self):
         self.text, self.meta = np.zeros((N_TEXT, WIDTH)), np.zeros((N_META, WIDTH))
-        self.prior = 0.0
+        self.words, self.prior = np.zeros(WORDS), 0.0
         self.scale = [np.array([0.0, 1.0])] * 2
         self.mix = np.array([0.0, 1.0, 1.0])
         self.trained = False
 
-    def odds(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = self.prior + self.text[np.arange(N_TEXT), t].sum(1), self.prior + self.meta[np.arange(N_META), m].sum(1)
+    def odds(self, w: pa.Array, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, buckets = _flat(w)
+        words = np.bincount(row, self.words[buckets], len(t)) / np.maximum(np.bincount(row, minlength=len(t)), 1)
+        raw = self.prior + self.text[np.arange(N_TEXT), t].sum(1) + WORD_WEIGHT * words, self.prior + self.meta[np.arange(N_META), m].sum(1)
         return tuple(a + b * np.clip(x, -30, 30) for (a, b), x in zip(self.scale, raw, strict=True))
 
-    def score(self, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.odds(t, m)
+    def score(self, w: pa.Array, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.odds(w, t, m)
         return _p(a), _p(b), _p(self.mix[0] + self.mix[1] * a + self.mix[2] * b) if self.trained else np.ones(len(t))
 
 
@@ -114,7 +142,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, start: np.ndarray) ->
     return w
 
 
-_FEATURES = f"doc_id long, t array<int>, m array<int>"  # noqa: F541
+_FEATURES = "doc_id long, w binary, t array<int>, m array<int>"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -124,7 +152,7 @@ def features(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 t = [text_classes(x.as_py()) for x in part.column(1)]
                 m = [meta_classes(*r) for r in zip(*(c.to_pylist() for c in part.columns[2:5]), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], ["doc_id", "t", "m"])
+                yield pa.RecordBatch.from_arrays([part.column(0), words_of(part.column(1)), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], ["doc_id", "w", "t", "m"])
 
     return _columns(docs).mapInArrow(run, _FEATURES)
 
@@ -139,16 +167,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def _counted(rows: DataFrame, views: Views, teach: bool) -> np.ndarray:
-    """Counts (view, feature, class, label) of one reading of all rows."""
+def _counted(rows: DataFrame, views: Views, teach: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (feature of both views, class, label), and (bucket of words, label), of one reading of all rows."""
     shape = (N_TEXT + N_META, WIDTH, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total, words = np.zeros(shape), np.zeros((WORDS, 2))
         for batch in batches:
-            t, m, y = _matrix(batch.column(0), N_TEXT), _matrix(batch.column(1), N_META), np.asarray(batch.column(2))
-            held = np.asarray(batch.column(3))
-            a, b = views.odds(t, m)
+            w, t, m, y = batch.column(0), _matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META), np.asarray(batch.column(3))
+            held = np.asarray(batch.column(4))
+            a, b = views.odds(w, t, m)
             for classes, other, first in ((t, b, 0), (m, a, N_TEXT)):
                 label, weight = np.where(y == 1, 1, 0), np.where((y >= 0) & ~held, 1.0, 0.0)
                 if teach:
@@ -157,14 +185,18 @@ def _counted(rows: DataFrame, views: Views, teach: bool) -> np.ndarray:
                     label, weight = np.where(sure, p > 0.5, label), np.where(sure, PSEUDO_WEIGHT, weight)
                 for f in range(classes.shape[1]):
                     np.add.at(total[first + f], (classes[:, f], label), weight)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
-
-    summed = rows.select("t", "m", "y", "held").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(int(np.prod(shape)))
+                if not first:
+                    row, buckets = _flat(w)
+                    words += np.bincount(buckets * 2 + label[row], weight[row], 2 * WORDS).reshape(WORDS, 2)
+        flat = np.concatenate([total.ravel(), words.ravel()])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
+
+    summed = rows.select("w", "t", "m", "y", "held").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(int(np.prod(shape)) + 2 * WORDS)
     for r in summed:
         out[r["at"]] = r["n"]
-    return out.reshape(shape)
+    return out[: -2 * WORDS].reshape(shape), out[-2 * WORDS :].reshape(WORDS, 2)
 
 
 def _calibrate(rows: DataFrame, views: Views) -> None:
@@ -175,13 +207,13 @@ def _calibrate(rows: DataFrame, views: Views) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((steps + 1, steps + 1, 2))
         for batch in batches:
-            a, b = views.odds(_matrix(batch.column(0), N_TEXT), _matrix(batch.column(1), N_META))
+            a, b = views.odds(batch.column(0), _matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META))
             i, j = (np.round((np.clip(x, -16, 16) + 16) * 2).astype(int) for x in (a, b))
-            np.add.at(total, (i, j, np.asarray(batch.column(2))), 1)
+            np.add.at(total, (i, j, np.asarray(batch.column(3))), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
-    found = rows.where("held AND y >= 0").select("t", "m", "y").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    found = rows.where("held AND y >= 0").select("w", "t", "m", "y").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     if not found:
         return
     i, j, y = np.unravel_index([r["at"] for r in found], (steps + 1, steps + 1, 2))
@@ -194,12 +226,14 @@ def _calibrate(rows: DataFrame, views: Views) -> None:
 def _trained_on(rows: DataFrame) -> Views:
     views = Views()
     for turn in range(ROUNDS + 1):
-        n = _counted(rows, views, teach=turn > 0)
+        n, words = _counted(rows, views, teach=turn > 0)
         both = n[0].sum(0)
         if not both.all():
             return views
         odds = np.log((n[..., 1] + 0.5) / (n[..., 1].sum(1, keepdims=True) + 1)) - np.log((n[..., 0] + 0.5) / (n[..., 0].sum(1, keepdims=True) + 1))
         odds[n.sum(2) == 0] = 0
+        share = (words + 0.5) / (both + 1)
+        views.words = np.where(words.sum(1) > 0, np.log(share[:, 1]) - np.log(share[:, 0]), 0)
         views.text, views.meta, views.prior = odds[:N_TEXT], odds[N_TEXT:], float(np.log(both[1] / both[0]))
         _calibrate(rows, views)
     views.trained = True
@@ -210,7 +244,10 @@ def _rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Features of all rows with y (-1 without label) and held: labelled rows that no view is trained on."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS) == 0
-    return written(features(docs).join(known, "doc_id", "left").select("doc_id", "t", "m", F.coalesce("y", F.lit(-1)).alias("y"), held.alias("held")), "quality")
+    known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    rows = features(docs)  # rows without id, of which there may be many, meet no label and are not dealt out by it
+    rows = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("y", F.lit(None).cast("int")))
+    return written(rows.select("doc_id", "w", "t", "m", F.coalesce("y", F.lit(-1)).alias("y"), held.alias("held")), "quality")
 
 
 def co_trained(docs: DataFrame, labels: DataFrame) -> Views:
@@ -227,25 +264,24 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, p = views.score(_matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META))
+            a, b, p = views.score(batch.column(1), _matrix(batch.column(2), N_TEXT), _matrix(batch.column(3), N_META))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (a, b, p, p >= threshold))], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return rows.select("doc_id", "t", "m").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return rows.select("doc_id", "w", "t", "m").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, that the classifier keeps."""
     views = co_trained(docs, labels)
-    names = docs.columns
-    wanted = [c for c in ("text", "source", "lang", "n_chars") if c in names]
+    place = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            none = [None] * batch.num_rows
-            text, source, lang, size = (batch.column(names.index(c)).to_pylist() if c in wanted else none for c in ("text", "source", "lang", "n_chars"))
-            if not batch.num_rows:
-                continue
-            t, m = np.array([text_classes(x) for x in text]), np.array([meta_classes(*r) for r in zip(source, lang, size, strict=True)])
-            yield batch.filter(pa.array(views.score(t, m)[2] >= threshold))
+            if batch.num_rows:
+                read = lambda c, kind: batch.column(place[c]).cast(kind) if c in place else pa.nulls(batch.num_rows, kind)  # noqa: B023, E731
+                text, size = read("text", pa.string()), read("n_chars", pa.int64()).to_pylist()
+                t = np.array([text_classes(x.as_py()) for x in text])
+                m = np.array([meta_classes(*r) for r in zip(read("source", pa.string()).to_pylist(), read("lang", pa.string()).to_pylist(), size, strict=True)])
+                yield batch.filter(pa.array(views.score(words_of(text), t, m)[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
