@@ -6,7 +6,10 @@ four kinds of lacing, SimpleBlock and BlockGroup, elements of unknown size,
 unknown elements (skipped), Cues before or after the clusters.
 
 Null or damaged bytes: no packets from where the damage begins; packets before
-it are kept. Null text is an empty text. Rows with equal ids are stored each.
+it are kept. Null text is an empty text. Rows with equal ids are stored each; equal
+texts give equal files, so there are no ties. A very long text is one file; a batch
+holds BATCH_BYTES of files, or one. Empty table: no rows. Extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -234,18 +237,31 @@ def features(data: bytes, packets: list[tuple]) -> str:
     return f"packets={len(packets)};blocks={packets[-1][3] + 1};clusters={packets[-1][2] + 1};ms={len(samples) // BYTES_A_MS};sum={int(counts @ value)};squares={int(counts @ (value * value))};bins={bins}"
 
 
+#: Files in one batch, at most, unless one file is longer.
+BATCH_BYTES = 1 << 24
 STORED = "doc_id long, n_bytes long, payload_bytes long, media binary"
 
 
 def stored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts as Matroska files: doc_id, n_bytes, payload_bytes, media."""
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = [payload_of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([len(p) for _, p in made], pa.int64()), pa.array([write_matroska(p) for _, p in made], pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
+            rows, size = [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                n, payload = payload_of(text.as_py())
+                media = write_matroska(payload)
+                if rows and size + len(media) > BATCH_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+                rows.append((doc_id.as_py(), n, len(payload), media))
+                size += len(media)
+            if rows:
+                yield table(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, STORED)
 

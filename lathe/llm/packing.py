@@ -22,6 +22,7 @@ packed each. Empty table: no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from .staging import written
 from .words import span_hashes
 
 CAPACITY, END_ID, CACHED_RUNS = 2048, 1, 2_000_000
+#: The counts of up to so many parts of each class are broadcast.
+BROADCAST_PARTS = 4096
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row_key long"
 
 
@@ -63,6 +66,13 @@ class _Encoder:
     """
 
     MARK = "<|startoftext|>"
+    # The rule of the vocabulary file for which runs are found here. Texts of any other file are encoded one by one.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": RUNS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    }
     #: Classes of bytes: 0 space, 1 letter, 2 digit, 3 other sign, 4 a text that has it is encoded by itself.
     CLASS = np.full(256, 4, np.uint8)
     CLASS[33:127] = 3
@@ -74,7 +84,9 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(self.MARK)
+        rule = json.loads(self.tokenizer.to_str())
+        known = rule["normalizer"] == self.NORMALIZER and rule["pre_tokenizer"] == self.PRE_TOKENIZER and rule["post_processor"] is None and rule["model"]["type"] == "BPE"
+        self.mark = self.tokenizer.token_to_id(self.MARK) if known else None
         self._forget()
 
     def _forget(self) -> None:
@@ -203,7 +215,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
     """Adds sequence_id and offset to pieces, which must be a table that reads the same each time."""
     spark = pieces.sparkSession
     n = pieces.count()
-    parts = min(4096, max(1, -(-n // part_rows)))  # so that the counts below stay small enough to broadcast
+    parts = max(1, -(-n // part_rows))
+    small = F.broadcast if parts <= BROADCAST_PARTS else lambda df: df
     order = ["doc_id", "row_key", "start", "length", "ids_crc32"]
     pieces = pieces.withColumn("kind", F.expr(f"{capacity} div length")).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "row_key"), F.lit(parts)))
     # A few rows for each class and part: at most about 2 * sqrt(capacity) classes.
@@ -215,7 +228,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
     sizes = sizes.withColumn("filled", F.sum("bins").over(Window.partitionBy(F.lit(0)))).drop("of_kind")
     ranked = (
         pieces.withColumn("at", F.row_number().over(Window.partitionBy("kind", "part").orderBy(*order)))
-        .join(F.broadcast(counts), ["kind", "part"])
+        .join(small(counts), ["kind", "part"])
         .join(F.broadcast(sizes), "kind")
         .withColumn("at", F.col("before") + F.col("at") - 1)
         .withColumn("bin", F.expr("at div kind"))

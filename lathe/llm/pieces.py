@@ -5,17 +5,20 @@ distinct marked words of a run of texts are sorted; taken in this order they are
 a depth-first walk of their trie, in which the forward scores of the prefix that
 a word shares with the one before stay as they are.
 
-Unigram models: the forward score of a prefix is the best sum of scores of
-pieces that make it up. BPE models: a path may join two pieces only if merging
-their characters gives these two again; just one path of joinable pieces makes
-up a prefix, and it is what merging the whole gives, so the forward score says
-which piece ends the prefix. Whether two pieces join is remembered.
+The forward score of a prefix is the best sum of scores of pieces that make it
+up. In BPE models a path may join two pieces only if merging their characters
+gives these two again, and pieces that do not join have no path; of the paths of
+joinable pieces that make up a prefix, the best by its sum is what merging the
+whole gives. Whether two pieces join is remembered.
 
 Characters that are no piece become bytes, or the unknown piece in models
 without bytes. Models whose normalizer changes more than spaces are refused.
 Null and empty texts have no ids. Decoding takes pieces' texts and bytes
 together; ids out of range and control pieces are left out. Very long texts are
-one row like others; rows are independent, so ties and repeats keep their ids.
+one row like others; rows are independent, so repeats keep their ids. Of paths
+whose scores tie, the one whose last piece is longest is taken. Empty table: no
+rows. Extra columns are not read by encoded() and digests(), and kept by
+decoded(), whatever their names but for the new column's.
 """
 
 from __future__ import annotations
@@ -128,27 +131,27 @@ class Pieces:
         return self.joins[a, b]
 
     def _forward(self, word: str, shared: int, last: list[str], score: list[float]) -> None:
-        """Fills in, for each prefix longer than shared, the piece that ends it (and, for unigrams, its score)."""
+        """Fills in, for each prefix longer than shared, its score and the piece that ends it."""
         del last[shared + 1 :], score[shared + 1 :]
+        ids, scores, lengths, joins, bpe = self.ids, self.scores, self.lengths, self.joins, self.bpe
         for end in range(shared + 1, len(word) + 1):
             best, value = None, 0.0
-            for n in self.lengths.get(word[end - 1], ()):
+            for n in lengths.get(word[end - 1], ()):
                 if n > end:
                     continue
                 piece = word[end - n : end]
-                if piece not in self.ids:
+                if piece not in ids:
                     continue
-                if self.bpe:
-                    if self._join(last[end - n], piece):
-                        best = piece
-                        break
-                else:
-                    s = score[end - n] + self.scores[piece]
-                    if best is None or s > value:
-                        best, value = piece, s
-            if not self.bpe and word[end - 1] not in self.ids:
-                s = score[end - 1] + self.floor
+                if bpe:
+                    join = joins.get((last[end - n], piece))
+                    if not (self._join(last[end - n], piece) if join is None else join):
+                        continue
+                s = score[end - n] + scores[piece]
                 if best is None or s > value:
+                    best, value = piece, s
+            if word[end - 1] not in ids:
+                s = score[end - 1] + self.floor
+                if best is None or s > value and not bpe:
                     best, value = word[end - 1], s
             last.append(word[end - 1] if best is None else best)
             score.append(value)

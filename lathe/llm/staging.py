@@ -12,9 +12,12 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only where it is unset (tests), a temporary folder takes its place."""
+    """The cluster's spark.checkpoint.dir. Only where it is unset and the master is local (tests), a temporary folder takes its place."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lathe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
