@@ -1,7 +1,16 @@
 """A corpus in four stages: quality, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. All but the last return the columns of documents.
+kept. All but the last return the columns of documents, and any others that docs
+has, whatever their names.
+
+Null and empty texts: the classifier judges them as empty texts; they are nobody's
+near duplicate, have no secrets, and are packed as their end id alone. Very long
+texts are read whole. Rows with equal ids are judged, compared, masked and packed
+each; of linked rows the one with the smallest id stays, of those of one id the
+first by hashes of text and other columns. A score that ties with a threshold
+keeps its row or counts as a secret. An empty table gives no rows. The result is a
+table that depends on the input's rows alone, not on their order.
 """
 
 from __future__ import annotations
