@@ -61,11 +61,11 @@ class _Encoder:
     The vocabulary's rule divides a text into runs (letters, single digits, other
     signs, some endings after an apostrophe), which it encodes each by itself. In
     texts of ASCII and Latin-1 letters runs are found for many texts at once, and
-    only distinct runs that are new are encoded, many at once with a special token
-    between them. Other texts are encoded one by one.
+    only distinct runs that are new are encoded, many at once with spaces between
+    them. Other texts are encoded one by one.
     """
 
-    MARK = "<|startoftext|>"
+    WORD_END = "</w>"
     # The rule of the vocabulary file for which runs are found here. Texts of any other file are encoded one by one.
     NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
     RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -86,7 +86,14 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         rule = json.loads(self.tokenizer.to_str())
         known = rule["normalizer"] == self.NORMALIZER and rule["pre_tokenizer"] == self.PRE_TOKENIZER and rule["post_processor"] is None and rule["model"]["type"] == "BPE"
-        self.mark = self.tokenizer.token_to_id(self.MARK) if known else None
+        self.runs = None
+        if known and rule["model"]["end_of_word_suffix"] == self.WORD_END:
+            # The same vocabulary without what runs have behind them: they are divided, and lower-cased before they are encoded.
+            rule |= {"normalizer": None, "added_tokens": []}
+            rule["pre_tokenizer"]["pretokenizers"][0] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            self.runs = Tokenizer.from_str(json.dumps(rule))
+            self.ends_run = np.zeros(self.runs.get_vocab_size(), bool)
+            self.ends_run[[i for piece, i in self.runs.get_vocab().items() if piece.endswith(self.WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -126,11 +133,10 @@ class _Encoder:
         ids, ends = [], []
         base = len(self.ids)
         for at in range(0, len(texts), 2048):
-            got = np.array(self.tokenizer.encode_batch_fast([self.MARK.join(texts[at : at + 2048])], add_special_tokens=False)[0].ids, "<u4")
-            mark = np.flatnonzero(got == self.mark)
-            ends.append(np.append(mark - np.arange(len(mark)), len(got) - len(mark)) + base)
-            ids.append(got[got != self.mark])
-            base += len(ids[-1])
+            got = np.array(self.runs.encode_batch_fast([" ".join(texts[at : at + 2048]).lower()], add_special_tokens=False)[0].ids, "<u4")
+            ends.append(np.flatnonzero(self.ends_run[got]) + 1 + base)
+            ids.append(got)
+            base += len(got)
         self.at = np.concatenate([self.at, *ends])
         self.ids = np.concatenate([self.ids, *ids])
         known, place = np.concatenate([self.known, hashes]), np.concatenate([self.place, len(self.known) + np.arange(len(hashes))])
@@ -144,15 +150,20 @@ class _Encoder:
         off -= off[0]
         starts, ends = self._runs(raw, off)
         hashes = span_hashes(raw, starts, ends)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.setdiff1d(np.arange(len(distinct)), np.flatnonzero(np.isin(distinct, self.known, assume_unique=True)))
+        coded = pa.array(hashes).dictionary_encode()
+        inverse, distinct = np.asarray(coded.indices), np.asarray(coded.dictionary)
+        # Values stand in the dictionary in the order in which they come first.
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1)) if len(inverse) else inverse
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
             data = raw.tobytes()
             if len(self.known) + len(new) > CACHED_RUNS:
                 self._forget()
                 new = np.arange(len(distinct))
             self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        place = self.place[np.searchsorted(self.known, distinct)][inverse]
+            at = np.searchsorted(self.known, distinct)
+        place = self.place[at][inverse]
         n = self.at[place + 1] - self.at[place]
         total = np.concatenate(([0], np.cumsum(n)))
         flat = self.ids[np.repeat(self.at[place] - total[:-1], n) + np.arange(total[-1])].tobytes()
@@ -170,7 +181,7 @@ class _Encoder:
         odd[1:] |= (part[:-1] == 0xC3) & np.isin(part[1:], [0x97, 0xB7])
         before = np.concatenate(([0], np.cumsum(odd)))
         plain = before[off[1:] - off[0]] == before[off[:-1] - off[0]]
-        if self.mark is None:
+        if self.runs is None:
             plain[:] = False
         out: list[bytes] = [b""] * len(texts)
         for i, ids in zip(np.flatnonzero(plain).tolist(), self._plain(texts.filter(pa.array(plain))), strict=True):
@@ -212,12 +223,15 @@ def tokenised(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces, which must be a table that reads the same each time."""
-    spark = pieces.sparkSession
-    n = pieces.count()
+    """Adds sequence_id and offset to pieces, which must be a table that reads the same each time. piece: a number that no two rows share.
+
+    Places are found without the ids, which meet them at the end, so that tokens are dealt out once.
+    """
+    whole, n = pieces, pieces.count()
+    pieces = pieces.drop("ids")
     parts = max(1, -(-n // part_rows))
     small = F.broadcast if parts <= BROADCAST_PARTS else lambda df: df
-    order = ["doc_id", "row_key", "start", "length", "ids_crc32"]
+    order = ["doc_id", "row_key", "start", "length", "ids_crc32", "piece"]
     pieces = pieces.withColumn("kind", F.expr(f"{capacity} div length")).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "row_key"), F.lit(parts)))
     # A few rows for each class and part: at most about 2 * sqrt(capacity) classes.
     counts = pieces.groupBy("kind", "part").agg(F.count("*").alias("here"))
@@ -235,9 +249,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_00
     )
     full = ranked.where("bin < bins").withColumn("sequence_id", F.col("first_bin") + F.col("bin"))
     full = full.withColumn("offset", F.sum("length").over(Window.partitionBy("sequence_id").orderBy("at")) - F.col("length"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    rest = _rest(ranked.where("bin >= bins"), capacity, names)
-    return full.select(*names).unionByName(rest.select(*names))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    rest = _rest(ranked.where("bin >= bins"), capacity, [*names, "piece"])
+    placed = full.select(*names, "piece").unionByName(rest.select(*names, "piece"))
+    return placed.join(whole.select("piece", "ids"), "piece").select(*names, "ids") if "ids" in whole.columns else placed.select(*names)
 
 
 def _rest(left: DataFrame, capacity: int, names: list[str]) -> DataFrame:
@@ -264,5 +279,6 @@ def _rest(left: DataFrame, capacity: int, names: list[str]) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str, *, keep_ids: bool = False, **kw) -> DataFrame:
-    """Documents to pieces with their sequence and offset there."""
-    return pack(written(tokenised(docs, path, keep_ids=keep_ids, **kw), "pieces"), capacity=kw.get("capacity", CAPACITY))
+    """Documents to pieces with their sequence and offset there, and with keep_ids their ids."""
+    pieces = tokenised(docs, path, keep_ids=keep_ids, **kw).withColumn("piece", F.monotonically_increasing_id())
+    return pack(written(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity=kw.get("capacity", CAPACITY))

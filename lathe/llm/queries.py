@@ -56,7 +56,7 @@ def op8_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
