@@ -243,8 +243,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if len(df.columns) * df.count() <= BROADCAST_ROWS else df
 
 
-def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """id, set: all shingles, sorted, of the documents in ids."""
+def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule, repeated: bool) -> DataFrame:
+    """id, set: all shingles, sorted, of the documents in ids; repeated: whether rows may repeat, of which one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sets, size, last = [], [], 0, None
@@ -261,7 +261,8 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _lists_of(sets)], ["id", "set"])
 
     wanted = docs.join(_small(ids), docs["doc_id"] == ids["id"], "left_semi")
-    return wanted.mapInArrow(run, "id long, set array<long>")
+    out = wanted.mapInArrow(run, "id long, set array<long>")
+    return out.distinct() if repeated else out
 
 
 def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
@@ -368,7 +369,10 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), SETS), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
-    sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select("id", "n", "tokens", "entries", "cells")
+    sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select(*by, "id", "tokens", "entries", "cells")
+    if repeated := sets.count() > classes.count():
+        sets = written(sets.dropDuplicates([*by, "id"]), "distinct")
+    sets = sets.drop("d1", "d2")
     light = rule.boundary({r["n"]: r["count"] for r in classes.where(F.col("n") < MOST_LIGHT).groupBy("n").count().collect()})
 
     links = written(_light_links(sets, rule, light), "light")
@@ -378,7 +382,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
     stars = entries.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     stars = written(_possible(stars, sets.select("id", "n", "cells"), rule), "stars")
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = written(_shingle_sets(docs, ids(stars), rule), "full")
+    full = written(_shingle_sets(docs, ids(stars), rule, repeated), "full")
     found = written(links.select("a", "b").unionAll(_verified(stars, full, rule)), "found")
     label = components(found)
     discard(links, stars, found, full)
@@ -393,7 +397,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
         group = components(apart.select(F.col("id").alias("a"), F.col("second").alias("b")))
         members = apart.select("id", "comp").distinct().join(sets.select("id", "n"), "id").select("id", "n", "comp")
         blocks = written(_blocks(members, group), "blocks")
-        full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule), "full")
+        full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule, repeated), "full")
         more = written(_block_links(blocks, full, rule), "more")
     if not more.isEmpty():
         ends = [more.select(F.col(c).alias("id"), F.monotonically_increasing_id().alias("link")) for c in "ab"]

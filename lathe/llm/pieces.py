@@ -94,10 +94,11 @@ class Pieces:
                 self.ids[piece], self.scores[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
-        #: Pieces' lengths by their last character, longest first.
+        #: Lengths of pieces by their last three characters, longest first; shorter pieces are tried everywhere.
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            lengths.setdefault(p[-1], set()).add(len(p))
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {1, 2}).add(len(p))
         self.lengths = {c: tuple(sorted(x, reverse=True)) for c, x in lengths.items()}
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         inside = {c for p in self.ids for c in p}
@@ -136,7 +137,7 @@ class Pieces:
         ids, scores, lengths, joins, bpe = self.ids, self.scores, self.lengths, self.joins, self.bpe
         for end in range(shared + 1, len(word) + 1):
             best, value = None, 0.0
-            for n in lengths.get(word[end - 1], ()):
+            for n in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
                 if n > end:
                     continue
                 piece = word[end - n : end]

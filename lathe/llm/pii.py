@@ -55,9 +55,23 @@ _AT = re.compile(r"[\[(]at[\])]")
 _SPELLED = re.compile(r" ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,4}")
 _NAME = re.compile(r"(?:[Mm]y name is|Mr\.|Mrs\.|Ms\.|Dr\.|[Ss]igned,|[Cc]ontact:?) ([A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?)")
 
-PROVIDERS = frozenset("gmail.com yahoo.com hotmail.com outlook.com aol.com icloud.com gmx.de web.de mail.ru proton.me protonmail.com live.com orange.fr free.fr".split())
-SUFFIXES = frozenset("com org net edu gov io de fr es uk it nl ch at be pl pt ru info biz eu us ca au jp cn in br mx".split())
-FIRST_NAMES = frozenset("james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna peter paul maria jean pierre marie hans karl juan carlos jose luis ana".split())
+#: Gazetteers: mail providers, the endings of domains, and first names of several languages.
+PROVIDERS = frozenset(
+    """gmail.com googlemail.com yahoo.com yahoo.co.uk yahoo.fr yahoo.de yahoo.es ymail.com hotmail.com hotmail.co.uk hotmail.fr outlook.com live.com msn.com
+    aol.com icloud.com me.com mac.com gmx.de gmx.net gmx.com gmx.at web.de t-online.de freenet.de mail.ru yandex.ru yandex.com rambler.ru proton.me protonmail.com
+    zoho.com fastmail.com tutanota.com mail.com orange.fr wanadoo.fr free.fr laposte.net sfr.fr libero.it virgilio.it tin.it alice.it terra.es telefonica.net
+    comcast.net verizon.net att.net sbcglobal.net cox.net btinternet.com sky.com qq.com 163.com 126.com sina.com naver.com hanmail.net rediffmail.com uol.com.br bol.com.br""".split()
+)
+SUFFIXES = frozenset(
+    """com org net edu gov mil int info biz name pro io ai app dev co me tv cc xyz online site shop eu de fr es it pt nl be lu ch at uk ie dk se no fi is pl cz sk hu ro bg gr
+    hr si rs ru ua by lt lv ee tr il ae sa in pk bd lk cn hk tw jp kr sg my th vn id ph au nz ca us mx br ar cl pe uy za eg ma ng ke""".split()
+)
+FIRST_NAMES = frozenset(
+    """james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen
+    christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle
+    anna peter maria jean pierre marie michel claire sophie nicolas philippe isabelle hans karl klaus jürgen wolfgang ursula petra sabine stefan andreas
+    juan carlos jose luis ana carmen antonio manuel francisco laura pablo elena giovanni giuseppe paolo francesca marco giulia ivan olga natasha sergei""".split()
+)
 CUES = {
     "email": "mail contact write reach address", "email_spelled": "mail contact write reach address", "ip": "ip host server address client login from", "card": "card visa master credit debit pay number",
     "phone": "phone tel call mobile cell fax dial", "phone_national": "phone tel call mobile cell fax dial", "ssn": "ssn social security tax", "iban": "iban account bank transfer", "name": "name signed dear mr. mrs. dr.",

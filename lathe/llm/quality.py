@@ -26,6 +26,7 @@ are missing count as null.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import discard, written
-from .words import hashed_words
 
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, FOLDS, THRESHOLD = 3, 0.97, 0.3, 5, 0.5
 SOURCES, WORDS, WORD_WEIGHT = 512, 4096, 10.0
@@ -49,19 +49,20 @@ EDGES = {
     "line_length": (10, 25, 50, 100, 200, 500, 1500), "top_word": (0.03, 0.05, 0.08, 0.12, 0.2, 0.4), "upper_words": (0.01, 0.03, 0.1, 0.3, 0.6), "sign_words": (0.02, 0.05, 0.1, 0.15, 0.25, 0.5, 0.8),
     "shouts": (0.001, 0.01, 0.05, 0.2), "next_same": (0.002, 0.01, 0.03, 0.1, 0.3),
 }
-_EDGES = [np.array(e) for e in EDGES.values()]
+_EDGES = list(EDGES.values())
 N_TEXT, N_META, WIDTH = len(EDGES), 4, max(SOURCES, 16)
 _LETTER = bytes(i for i in range(256) if chr(i).isalpha() and i < 128 or i >= 128)
 _SIGNS = [i for i in range(33, 127) if not chr(i).isalnum()]
 _RARE = [ord(c) for c in "#$%&*|<>{}[]\\^~_=+@"]
 
 
-def text_classes(text: str | None) -> list[int]:
+def text_view(text: str | None) -> tuple[list[int], bytes]:
+    """The classes of a text's statistics, and the buckets of its distinct words (A-Z count as a-z), sorted, two bytes each."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n, m = len(raw), len(words)
     if not m:
-        return [0] * N_TEXT
+        return [0] * N_TEXT, b""
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     letters = max(1, int(count[65:91].sum() + count[97:123].sum() + count[128:].sum() // 2))
     lines = [x for x in raw.split(b"\n") if x.strip()]
@@ -75,7 +76,8 @@ def text_classes(text: str | None) -> list[int]:
         m, count[65:91].sum() / letters, count[48:58].sum() / n, count[_SIGNS].sum() / n, count[_RARE].sum() / n, sum(map(len, words)) / m, sum(len(set(words[i : i + BLOCK])) for i in range(0, m, BLOCK)) / m,
         1 - len(set(lines)) / len(lines), n / len(lines), max(seen.values()) / m, upper / m, signed / m, count[33] / m, same / m,
     )
-    return [int(np.searchsorted(e, v, "right")) for e, v in zip(_EDGES, values, strict=True)]
+    buckets = np.array(sorted({zlib.crc32(w.lower()) % WORDS for w in seen}), "<u2")
+    return [bisect_right(e, v) for e, v in zip(_EDGES, values, strict=True)], buckets.tobytes()
 
 
 def meta_classes(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
@@ -85,21 +87,8 @@ def meta_classes(source: str | None, lang: str | None, n_chars: int | None) -> l
     return [s, g, size, (g * 31 + size) % SOURCES]
 
 
-def words_of(texts: pa.Array) -> pa.Array:
-    """The buckets of each text's distinct words, sorted, two bytes each."""
-    out: list[bytes] = []
-    for _, words, at in hashed_words(texts):
-        buckets = (words % np.uint64(WORDS)).astype(np.int64)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        both = np.unique(row * WORDS + buckets)
-        cuts = np.searchsorted(both, np.arange(len(at)) * WORDS).tolist()
-        raw = (both % WORDS).astype("<u2").tobytes()
-        out += [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.array(out, pa.binary())
-
-
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each bucket, buckets) of a column of words_of()."""
+    """(row of each bucket, buckets) of a column of buckets as text_view() gives them."""
     n = np.diff(np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)) // 2 if len(words) else np.zeros(0, np.int64)
     return np.repeat(np.arange(len(words)), n), np.frombuffer(b"".join(words.to_pylist()), "<u2").astype(np.int64)
 
@@ -150,9 +139,9 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                t = [text_classes(x.as_py()) for x in part.column(1)]
+                t, w = zip(*(text_view(x.as_py()) for x in part.column(1)), strict=True)
                 m = [meta_classes(*r) for r in zip(*(c.to_pylist() for c in part.columns[2:5]), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), words_of(part.column(1)), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], ["doc_id", "w", "t", "m"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.binary()), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], ["doc_id", "w", "t", "m"])
 
     return _columns(docs).mapInArrow(run, _FEATURES)
 
@@ -280,8 +269,8 @@ def filtered(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
             if batch.num_rows:
                 read = lambda c, kind: batch.column(place[c]).cast(kind) if c in place else pa.nulls(batch.num_rows, kind)  # noqa: B023, E731
                 text, size = read("text", pa.string()), read("n_chars", pa.int64()).to_pylist()
-                t = np.array([text_classes(x.as_py()) for x in text])
+                t, w = zip(*(text_view(x.as_py()) for x in text), strict=True)
                 m = np.array([meta_classes(*r) for r in zip(read("source", pa.string()).to_pylist(), read("lang", pa.string()).to_pylist(), size, strict=True)])
-                yield batch.filter(pa.array(views.score(words_of(text), t, m)[2] >= threshold))
+                yield batch.filter(pa.array(views.score(pa.array(w, pa.binary()), np.array(t), m)[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,14 +8,18 @@ cover, whether it is part of a path or address, and the words around it. The
 forest is trained on labelled findings: a table of the caller's, or findings
 made by rule (labelled_findings(), a bounded number).
 
-Null and empty texts have no candidates. Rows with equal ids are searched each.
-Positions are code points, from 0, ends exclusive. Empty table: no rows. Extra
-columns are kept by masked() and not read otherwise. Without labelled findings
+Null and empty texts have no candidates. Rows with equal ids are searched each, and
+very long texts whole. Equal candidates in equal surroundings have equal
+probabilities; one that ties with THRESHOLD is a secret. Positions are code points,
+from 0, ends exclusive. Empty table: no rows. Extra columns are kept by masked(),
+whatever their names, and not read otherwise. Without labelled findings
 of both kinds, every candidate counts as a secret.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +34,7 @@ PATTERN = (
 )
 AROUND, FINDINGS, TREES, DEPTH, THRESHOLD = 48, 6000, 24, 7, 0.5
 BROADCAST_ROWS = 1_000_000
+#: The dictionary; dictionary= takes another.
 WORDS = "the and for that with this from have not are was you key name test data file user code main class value index config system string return public static example default version number service client server request response content image path type list map item page link node text time date order account module function".split()
 FEATURES = ["length", "transitions", "digits", "upper", "distinct", "hexadecimal", "separators", "covered", "in_path", "quoted", "assigned", "named", "counter", "placeholder", "prefix", "key_block", "repeats"]
 
@@ -46,14 +51,14 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return each.select("doc_id", "text_key", "start", "end", "value", "before", "after")
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def with_features(found: DataFrame, dictionary: Sequence[str] = tuple(WORDS)) -> DataFrame:
     """Adds FEATURES to value, before, after."""
     v, before, after = F.col("value"), F.col("before"), F.col("after")
     n = F.length(v)
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     has = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False)).cast("double")
     near = F.concat(before, F.lit(" "), after)
-    covered = 1 - F.length(F.regexp_replace(F.lower(v), "|".join(WORDS), "")) / n
+    covered = 1 - F.length(F.regexp_replace(F.lower(v), "|".join(dictionary), "")) / n
     made: dict[str, Column] = {
         "length": F.log2(n.cast("double")),
         "transitions": F.regexp_count(v, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")) / n,

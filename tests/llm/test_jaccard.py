@@ -61,6 +61,8 @@ def test_copies(spark, rule, monkeypatch):
     for length, edits in ((3, 1), (7, 1), (12, 1), (22, 2), (45, 3), (90, 4), (200, 8)):
         rows += [(i + 1000 * length, t) for i, t in copies(rng, 3, length, edits)]
     rows += [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (6, "one two"), (None, "one two"), (7, "big " * 20000), (8, "a b c d")]
+    same = [f"r{i}" for i in range(80)]
+    rows += [(9, " ".join(same))] * 4 + [(9, " ".join(same[1:]))] * 3 + [(10, " ".join(same[:-1])), (11, " ".join(same[2:])), (9, "r1 r2 and other words")]
     want = check(spark, rows, rule)
     monkeypatch.setattr(jaccard, "BLOCK", 300)
     monkeypatch.setattr(jaccard, "SPREAD", 50)

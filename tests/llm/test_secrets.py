@@ -1,7 +1,10 @@
 """Candidates' places, and the forest on findings that it was not trained on."""
 
+import random
 import re
 
+import regex
+
 from lathe.llm import secrets
 
 HEX = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
@@ -52,3 +55,28 @@ def test_distinct_characters_of_the_tail(spark):
     rows = spark.createDataFrame([(v, "", "") for v in values], "value string, before string, after string")
     for r in secrets.with_features(rows).collect():
         assert abs(r["distinct"] - values[r["value"]]) < 1e-12
+
+
+def test_candidates_by_brute_force(spark):
+    """The pattern's leftmost matches, by another library; equal texts and equal candidates in several rows."""
+    rng = random.Random(3)
+    parts = [HEX, "é ", "token=", "password: ", '"', "'", " ", "\n", "abc", "A1b2C3d4E5f6G7h8", "x" * 20, "1" * 20, "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "secret = ", "==", "/", "😀", "hunter2000", "a_b-c9" * 4]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 14)))) for i in range(400)]
+    rows += rows[:5] + [(500, f"token={HEX}"), (501, f"token={HEX}"), (None, f"token={HEX}")]
+    got = {}
+    for r in secrets.candidates(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["value"]))
+    want = {}
+    for i, t in rows:
+        for m in regex.finditer(secrets.PATTERN, t, flags=regex.ASCII):
+            want.setdefault(i, []).append((m.start(), m.end(), m[0]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()} and len(want) > 100
+
+
+def test_clashing_names_and_ties(spark):
+    rows = [(i, f"token = '{HEX}'", 1, 2.0, "f", 0, "k", "s") for i in (1, 1, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, label double, features string, start int, text_key string, p string")
+    out = secrets.masked(df)
+    assert out.columns == df.columns and [r["text"] for r in out.collect()] == ["token = '[SECRET]'"] * 4
+    found = secrets.findings(df).collect()
+    assert len(found) == 4 and len({r["probability"] for r in found}) == 1
