@@ -77,6 +77,7 @@ def test_matches_plain_model(spark, monkeypatch):
     monkeypatch.setattr(lm, "BYTES_A_SHARD", 20_000)
     monkeypatch.setattr(lm, "COUNTED", 60)
     monkeypatch.setattr(lm, "SCORED", 50)
+    monkeypatch.setattr(lm, "SPLIT", 40)
     check(spark, rows)
     check(spark, rows, 3)
     check(spark, rows, 4)
