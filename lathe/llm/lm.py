@@ -50,7 +50,7 @@ from .words import hashed_words, mix
 
 END, BEGIN = np.uint64(0x1F0E4D2C3B5A6978), np.uint64(0x6A09E667F3BCC908)
 #: Training text for each shard of an order. Tokens of one chunk when counting, and when scoring.
-BYTES_A_SHARD, COUNTED, SCORED = 24_000_000, 3_000_000, 1_500_000
+BYTES_A_SHARD, COUNTED, SCORED = 24_000_000, 2_000_000, 1_000_000
 #: Contexts that end in a word of so many occurrences, or a multiple, are dealt to one shard more for each.
 SPLIT = 1_000_000
 STATS, CONTEXT, SUFFIX, TEXT = range(4)
@@ -265,7 +265,7 @@ def _of_texts(model: Model, n: int):
         index, counts = np.unique(_gram(shorter[at - 1], shorter[at]), return_index=True, return_counts=True)[1:]
         at = at[index]
         contexts, suffixes, begins = shorter[at - 1], shorter[at], place[at] == n - 1
-        shard = _gram_shard(contexts, suffixes, model.said(tokens)[at - 1], model.shards)
+        shard = _gram_shard(contexts, suffixes, model.said(tokens[at - 1]), model.shards)
         order = np.lexsort((contexts, shard))
         contexts, suffixes, begins, counts, shard = contexts[order], suffixes[order], begins[order], counts[order], shard[order]
         for a, b in _runs(shard):
