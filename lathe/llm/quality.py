@@ -234,8 +234,9 @@ def _rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS) == 0
     known = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
-    rows = features(docs)  # rows without id, of which there may be many, meet no label and are not dealt out by it
-    rows = rows.where("doc_id IS NOT NULL").join(known, "doc_id", "left").unionByName(rows.where("doc_id IS NULL").withColumn("y", F.lit(None).cast("int")))
+    # Rows without id, of which there may be many, meet no label and are not dealt out by it.
+    named, others = (features(_columns(docs).where(c)) for c in ("doc_id IS NOT NULL", "doc_id IS NULL"))
+    rows = named.join(known, "doc_id", "left").unionByName(others.withColumn("y", F.lit(None).cast("int")))
     return written(rows.select("doc_id", "w", "t", "m", F.coalesce("y", F.lit(-1)).alias("y"), held.alias("held")), "quality")
 
 
