@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import discard, written
+from .staging import discard, lean, written
 from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Shingles in a block, at most; groups of more than SPREAD shingles are several blocks.
@@ -144,7 +144,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
         if held:
             yield counted()
 
-    top = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    top = docs.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
     found = top.toArrow()
     return np.asarray(found.column("h")).astype(np.int64)[::-1].copy()
 
@@ -231,7 +231,7 @@ def _subset_keys(rule: Rule, light: int):
 
 
 def _light_links(sets: DataFrame, rule: Rule, light: int) -> DataFrame:
-    keys = sets.where(F.col("n") <= light).select("id", "n", "tokens").mapInArrow(_subset_keys(rule, light), "small long, large long, key long, id long, n long")
+    keys = sets.where(F.col("n") <= light).select("id", "n", "tokens").mapInArrow(lean(_subset_keys(rule, light)), "small long, large long, key long, id long, n long")
     by = ["small", "large", "key"]
     met = keys.groupBy(*by).agg(F.min("id").alias("b"), F.max("id").alias("top"), F.min("n").alias("n0"), F.max("n").alias("n1"))
     met = met.where("b < top AND (small = large OR n0 < n1)").select(*by, "b")
@@ -261,7 +261,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule, repeated: bool) -
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), _lists_of(sets)], ["id", "set"])
 
     wanted = docs.join(_small(ids), docs["doc_id"] == ids["id"], "left_semi")
-    out = wanted.mapInArrow(run, "id long, set array<long>")
+    out = wanted.mapInArrow(lean(run), "id long, set array<long>")
     return out.distinct() if repeated else out
 
 
@@ -284,7 +284,7 @@ def _possible(pairs: DataFrame, cells: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (cells.select(F.col("id").alias(i), F.col("cells").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "x", "p"), ("b", "y", "q")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -366,7 +366,7 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(_sets(frequent(docs, rule.k), rule), SETS), "sets")
+    rows = written(docs.mapInArrow(lean(_sets(frequent(docs, rule.k), rule)), SETS), "sets")
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
     sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select(*by, "id", "tokens", "entries", "cells")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import written
+from .staging import lean, written
 from .words import span_hashes
 
 CAPACITY, END_ID, CACHED_RUNS = 2048, 1, 2_000_000
@@ -219,7 +219,7 @@ def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
 
 def tokenised(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Pieces of documents: where each starts, its length, the crc32 of its ids and, with keep_ids, the ids."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pieces(path, capacity, end_id, keep_ids), _PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lean(_pieces(path, capacity, end_id, keep_ids)), _PIECES)
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, part_rows: int = 100_000) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import discard, written
+from .staging import discard, lean, written
 
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, FOLDS, THRESHOLD = 3, 0.97, 0.3, 5, 0.5
 SOURCES, WORDS, WORD_WEIGHT = 512, 4096, 10.0
@@ -143,7 +143,7 @@ def features(docs: DataFrame) -> DataFrame:
                 m = [meta_classes(*r) for r in zip(*(c.to_pylist() for c in part.columns[2:5]), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w, pa.binary()), pa.array(t, pa.list_(pa.int32())), pa.array(m, pa.list_(pa.int32()))], ["doc_id", "w", "t", "m"])
 
-    return _columns(docs).mapInArrow(run, _FEATURES)
+    return _columns(docs).mapInArrow(lean(run), _FEATURES)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _counted(rows: DataFrame, views: Views, teach: bool) -> tuple[np.ndarray, np
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
 
-    summed = rows.select("w", "t", "m", "y", "held").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    summed = rows.select("w", "t", "m", "y", "held").mapInArrow(lean(run), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(int(np.prod(shape)) + 2 * WORDS)
     for r in summed:
         out[r["at"]] = r["n"]
@@ -202,7 +202,7 @@ def _calibrate(rows: DataFrame, views: Views) -> None:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
-    found = rows.where("held AND y >= 0").select("w", "t", "m", "y").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    found = rows.where("held AND y >= 0").select("w", "t", "m", "y").mapInArrow(lean(run), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
     if not found:
         return
     i, j, y = np.unravel_index([r["at"] for r in found], (steps + 1, steps + 1, 2))
@@ -257,7 +257,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD)
             a, b, p = views.score(batch.column(1), _matrix(batch.column(2), N_TEXT), _matrix(batch.column(3), N_META))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in (a, b, p, p >= threshold))], ["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return rows.select("doc_id", "w", "t", "m").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+    return rows.select("doc_id", "w", "t", "m").mapInArrow(lean(run), "doc_id long, text_score double, meta_score double, score double, keep boolean")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,4 +274,4 @@ def filtered(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
                 m = np.array([meta_classes(*r) for r in zip(read("source", pa.string()).to_pylist(), read("lang", pa.string()).to_pylist(), size, strict=True)])
                 yield batch.filter(pa.array(views.score(pa.array(w, pa.binary()), np.array(t), m)[2] >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
