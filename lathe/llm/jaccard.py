@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import discard, lean, written
+from .staging import BATCH_BYTES, discard, lean, lean_group, written
 from .words import hashed_words, mix, shingles
 
 #: Sets up to this size may be light. Shingles known as frequent, at most. Shingles in a block, at most; groups of more than SPREAD shingles are several blocks.
@@ -366,7 +366,7 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(docs.mapInArrow(lean(_sets(frequent(docs, rule.k), rule)), SETS), "sets")
+    rows = written(docs.mapInArrow(lean(_sets(frequent(docs, rule.k), rule)), SETS), "sets", BATCH_BYTES)
     by = ["n", "d1", "d2"]
     classes = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*by).agg(F.min("doc_id").alias("id")), "classes")
     sets = rows.withColumn("id", F.col("doc_id")).join(_small(classes), [*by, "id"], "left_semi").select(*by, "id", "tokens", "entries", "cells")
@@ -380,9 +380,9 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
 
     # Each list's members against its smallest.
     stars = entries.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    stars = written(_possible(stars, sets.select("id", "n", "cells"), rule), "stars")
+    stars = written(_possible(stars, sets.select("id", "n", "cells"), rule), "stars", BATCH_BYTES)
     ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    full = written(_shingle_sets(docs, ids(stars), rule, repeated), "full")
+    full = written(_shingle_sets(docs, ids(stars), rule, repeated), "full", BATCH_BYTES)
     found = written(links.select("a", "b").unionAll(_verified(stars, full, rule)), "found")
     label = components(found)
     discard(links, stars, found, full)
@@ -397,7 +397,7 @@ def linked(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text
         group = components(apart.select(F.col("id").alias("a"), F.col("second").alias("b")))
         members = apart.select("id", "comp").distinct().join(sets.select("id", "n"), "id").select("id", "n", "comp")
         blocks = written(_blocks(members, group), "blocks")
-        full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule, repeated), "full")
+        full = written(_shingle_sets(docs, blocks.select("id").distinct(), rule, repeated), "full", BATCH_BYTES)
         more = written(_block_links(blocks, full, rule), "more")
     if not more.isEmpty():
         ends = [more.select(F.col(c).alias("id"), F.monotonically_increasing_id().alias("link")) for c in "ab"]
@@ -448,4 +448,4 @@ def _blocks(members: DataFrame, group: DataFrame) -> DataFrame:
 def _block_links(members: DataFrame, full: DataFrame, rule: Rule) -> DataFrame:
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp").join(full, "id")
-    return dealt.groupBy("component", "i", "j").applyInArrow(_scan(rule), "a long, b long")
+    return dealt.groupBy("component", "i", "j").applyInArrow(lean_group(_scan(rule)), "a long, b long")

@@ -28,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import lean, written
+from .staging import BATCH_BYTES, give_back, lean, written
 from .words import span_hashes
 
 CAPACITY, END_ID, CACHED_RUNS = 2048, 1, 2_000_000
+#: Texts that are encoded at once: so many bytes, or one text.
+TEXTS_BYTES = 2 << 20
 #: The counts of up to so many parts of each class are broadcast.
 BROADCAST_PARTS = 4096
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row_key long"
@@ -95,6 +98,9 @@ class _Encoder:
             self.ends_run = np.zeros(self.runs.get_vocab_size(), bool)
             self.ends_run[[i for piece, i in self.runs.get_vocab().items() if piece.endswith(self.WORD_END)]] = True
         self._forget()
+        # The rule as text and dictionaries is as large again as both vocabularies.
+        rule = None
+        give_back()
 
     def _forget(self) -> None:
         self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4")
@@ -195,13 +201,23 @@ class _Encoder:
 _encoders: dict[str, _Encoder] = {}
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have TEXTS_BYTES together at most, or one row; a null text has no bytes."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + TEXTS_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in _by_bytes(batch):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += last
@@ -281,4 +297,4 @@ def _rest(left: DataFrame, capacity: int, names: list[str]) -> DataFrame:
 def packed(docs: DataFrame, path: str, *, keep_ids: bool = False, **kw) -> DataFrame:
     """Documents to pieces with their sequence and offset there, and with keep_ids their ids."""
     pieces = tokenised(docs, path, keep_ids=keep_ids, **kw).withColumn("piece", F.monotonically_increasing_id())
-    return pack(written(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity=kw.get("capacity", CAPACITY))
+    return pack(written(pieces if keep_ids else pieces.drop("ids"), "pieces", BATCH_BYTES), capacity=kw.get("capacity", CAPACITY))

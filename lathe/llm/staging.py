@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: A batch of a stage that reads texts, lists or ids in Python: so many bytes, or one row. Spark's own bound is 64 MB on either side.
+BATCH_BYTES = 4 << 20
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -32,11 +35,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder. A lost executor costs the reread of a file, not the work before it."""
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Jobs that begin here deal rows to Python in batches of at most so many bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key)
+    if not most or 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(had) <= most:
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder. A lost executor costs the reread of a file, not the work before it.
+
+    batch_bytes: what a batch has at most that this job deals to Python; a longer row is a batch by itself.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _batches_of(spark, batch_bytes):
+        df.write.parquet(path)
     out = spark.read.parquet(path)
     out._staged = path
     return out
@@ -63,6 +85,13 @@ def _clean() -> None:
             return
 
 
+def give_back() -> None:
+    """What Arrow and the C library keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, a function of mapInArrow, whose worker gives back what it has freed when its task ends.
 
@@ -74,9 +103,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
-                trim(0)
+            give_back()
+
+    return whole
+
+
+def lean_group(run: Callable[..., pa.Table]):
+    """lean for a function of applyInArrow, after each group."""
+
+    def whole(key, table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            give_back()
 
     return whole
 

@@ -3,8 +3,11 @@
 import subprocess
 import sys
 
+import pyarrow as pa
 import pytest
 
+from lathe.llm import staging
+
 # In a process of its own, as a worker is one.
 SCRIPT = """
 import re, sys
@@ -49,3 +52,74 @@ def test_given_back(module, call):
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(module=module, call=call)], capture_output=True, text=True, check=True, timeout=300)
     rows, more = done.stdout.split()
     assert int(rows) == 30000 and float(more) < 40, done.stdout
+
+
+PACKING = """
+import re, threading, time
+import numpy as np, pyarrow as pa
+from lathe.llm import packing
+from lathe.llm.queries import tokenizer_path
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+words = np.array([f"{a}{b}" for a in "abcdefghijklmnop" for b in ("ing", "er", "ation", "s")])
+texts = [" ".join(np.random.default_rng(i % 50).choice(words, 5000).tolist()) for i in range(1500)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+del texts
+run = packing._pieces(tokenizer_path(), packing.CAPACITY, packing.END_ID, False)
+few = [x for out in run(iter([batch.slice(0, 50)])) for x in out.to_pylist()]
+first, most, on = held(), [0.0], [True]
+
+def watch():
+    while on:
+        most[0] = max(most[0], held())
+        time.sleep(0.01)
+
+thread = threading.Thread(target=watch)
+thread.start()
+out = list(run(iter([batch])))
+on.clear()
+thread.join()
+rows = [x | {"doc_id": x["doc_id"] % 50} for b in out for x in b.to_pylist()]
+assert rows == few * 30
+print(batch.nbytes >> 20, most[0] - first)
+"""
+
+
+def test_packing_parts_by_bytes():
+    """A task that packs one batch of long texts takes memory for a part of it, and its pieces are those of the same texts in smaller batches."""
+    done = subprocess.run([sys.executable, "-c", PACKING], capture_output=True, text=True, check=True, timeout=300)
+    size, more = done.stdout.split()
+    assert int(size) > 30 and float(more) < 150, done.stdout
+
+
+def test_batches_by_bytes(spark):
+    """A staged table's job deals rows to Python in batches of bounded bytes; the session's setting stays, also after a failure."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    def fails(batches):
+        raise ValueError("no")
+        yield from batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key)
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id", "repeat('0123456789', IF(id = 500, 1000000, 1000)) AS text")
+    got = staging.written(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes", staging.BATCH_BYTES).collect()
+    assert sum(r["rows"] for r in got) == 1000
+    # A row is taken before it is counted.
+    assert all(r["bytes"] < 1.1 * staging.BATCH_BYTES for r in got if r["bytes"] < 10_000_000) and len(got) > 3
+    assert spark.conf.get(key) == had
+    with pytest.raises(Exception, match="no"):
+        staging.written(docs.mapInArrow(fails, "id long, text string"), "fails", staging.BATCH_BYTES)
+    assert spark.conf.get(key) == had
+
+
+def test_given_back_after_a_group(monkeypatch):
+    calls = []
+    monkeypatch.setattr(staging, "give_back", lambda: calls.append(1))
+    table = pa.table({"a": [1]})
+    assert staging.lean_group(lambda key, t: t)((1,), table) is table and calls == [1]
