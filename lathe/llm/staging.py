@@ -111,7 +111,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
 def lean_group(run: Callable[..., pa.Table]):
     """lean for a function of applyInArrow, after each group."""
 
-    def whole(key, table: pa.Table) -> pa.Table:
+    # Without hints: Spark reads them, and takes only those it knows.
+    def whole(key, table):
         try:
             return run(key, table)
         finally:

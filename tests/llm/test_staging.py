@@ -118,6 +118,12 @@ def test_batches_by_bytes(spark):
     assert spark.conf.get(key) == had
 
 
+def test_lean_group_runs_by_groups(spark):
+    sums = staging.lean_group(lambda key, t: pa.table({"k": pa.array([key[0].as_py()]), "rows": pa.array([t.num_rows], pa.int64())}))
+    got = spark.range(10).selectExpr("id % 2 AS k", "id").groupBy("k").applyInArrow(sums, "k long, rows long").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 5), (1, 5)]
+
+
 def test_given_back_after_a_group(monkeypatch):
     calls = []
     monkeypatch.setattr(staging, "give_back", lambda: calls.append(1))
